@@ -102,7 +102,7 @@ def _scanner(broadcast, cache: dict = {}) -> Scanner:  # noqa: B006
 
 def _spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     """Runs of hit words as places (code points, end exclusive) in the original text."""
-    places = [(m.start(), m.end()) for m in _WORD.finditer(text.decode("utf-8", "replace"))]
+    places = [m.span() for m in _WORD.finditer(text.lower().decode("utf-8", "replace"))]  # bytes.lower: A-Z only
     out = []
     for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
         out.append({"start": places[run[0]][0], "end": places[run[-1]][1]})
