@@ -67,6 +67,22 @@ def per_text(df: DataFrame, id_col: str, text_col: str, score: Callable[[list[by
     return out.withColumnRenamed("id", id_col)
 
 
+_made: dict[str, object] = {}
+
+
+class Shared:
+    """A broadcast value of bounded size, and what a worker makes of it, once for all its tasks."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.token, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    def made(self, make: Callable[[object], object]) -> object:
+        if self.token not in _made:
+            _made.clear()  # of one query at a time
+            _made[self.token] = make(self.sent.value)
+        return _made[self.token]
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

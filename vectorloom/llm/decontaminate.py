@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, per_text, quoted, raw_texts, words_of
+from .common import Shared, map_arrow, per_text, quoted, raw_texts, words_of
 
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
@@ -55,14 +54,16 @@ class Scanner:
     """Automata of all blocks; made once in each worker, the last one kept."""
 
     def __init__(self, blocks: list[dict[bytes, list[str]]]) -> None:
-        self.blocks = blocks
+        self.blocks, self.last = blocks, (-1, None)
 
-    @lru_cache(maxsize=1)  # noqa: B019
     def automaton(self, k: int) -> ahocorasick.Automaton:
+        if self.last[0] == k:
+            return self.last[1]
         a = ahocorasick.Automaton()
         for w, items in self.blocks[k].items():
             a.add_word(f" {(s := w.decode('utf-8', 'replace'))} ", (len(s) + 2, s.count(" ") + 1, items))
         a.make_automaton()
+        self.last = (k, a)
         return a
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, np.ndarray | None, list[str]]]:
@@ -92,14 +93,6 @@ class Scanner:
         return out
 
 
-def _scanner(broadcast, cache: dict = {}) -> Scanner:  # noqa: B006
-    key = getattr(broadcast, "id", id(broadcast))
-    if key not in cache:
-        cache.clear()
-        cache[key] = Scanner(broadcast.value)
-    return cache[key]
-
-
 def _spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     """Runs of hit words as places (code points, end exclusive) in the original text."""
     places = [m.span() for m in _WORD.finditer(text.lower().decode("utf-8", "replace"))]  # bytes.lower: A-Z only
@@ -114,10 +107,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     Null text: no words. Items that repeat, or share windows, are each reported. Empty benchmark: no hits.
     Repeated rows are rows of the result."""
-    shared = docs.sparkSession.sparkContext.broadcast(window_blocks(benchmark, item_col, "text", width, block_bytes))
+    shared = Shared(docs.sparkSession, window_blocks(benchmark, item_col, "text", width, block_bytes))
 
     def score(texts: list[bytes]) -> dict[str, list]:
-        found = _scanner(shared).scan(texts)
+        found = shared.made(Scanner).scan(texts)
         return {
             "n_words": [n for n, _, _ in found], "n_hit": [0 if h is None else len(h) for _, h, _ in found], "items": [x for _, _, x in found],
             "spans": [[] if h is None else _spans(t, h) for t, (_, h, _) in zip(texts, found, strict=True)],
@@ -133,12 +126,12 @@ def items_digest(items: list[str]) -> str:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``docs`` without any hit, columns as they came; rows pass through, nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(window_blocks(benchmark, item_col, "text", width, block_bytes))
+    shared = Shared(docs.sparkSession, window_blocks(benchmark, item_col, "text", width, block_bytes))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            clean = [h is None for _, h, _ in _scanner(shared).scan(raw_texts(b.column(at)))]
+            clean = [h is None for _, h, _ in shared.made(Scanner).scan(raw_texts(b.column(at)))]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
