@@ -93,6 +93,11 @@ def leaf_budgets(leaves: DataFrame, total: Column | int, weights: Mapping[str, M
     return leaves.join(budget.select(*LEVELS, "budget"), list(LEVELS))
 
 
+def running(column: str, *by: str, order: str) -> Column:
+    """Sum of ``column`` over the rows before this one."""
+    return F.coalesce(F.sum(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weights: Mapping[str, Mapping[str, int]] = WEIGHTS, permille: int = BUDGET_PERMILLE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, n_copies of every document that the mixture takes at least once.
 
@@ -112,8 +117,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     dealt = rows.join(plan, list(LEVELS)).withColumn("place", place).withColumn("bucket", F.substring("place", 1, 3))
     sums = dealt.where("rest > 0").groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
-    up_to = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("bucket_tokens").over(up_to), F.lit(0))).select(*LEVELS, "bucket", "start")
+    # of a leaf's 4,096 buckets, sums run over 16 groups and over the 256 of each group
+    sums = sums.withColumn("group", F.substring("bucket", 1, 1))
+    groups = sums.groupBy(*LEVELS, "group").agg(F.sum("bucket_tokens").alias("group_tokens"))
+    groups = groups.withColumn("group_start", running("group_tokens", *LEVELS, order="group")).drop("group_tokens")
+    inside = sums.withColumn("inside", running("bucket_tokens", *LEVELS, "group", order="bucket"))
+    starts = inside.join(groups, [*LEVELS, "group"]).select(*LEVELS, "bucket", (F.col("group_start") + F.col("inside")).alias("start"))
     inner = Window.partitionBy(*LEVELS, "bucket").orderBy("place")
     reach = F.col("start") + F.sum("n_tokens").over(inner)
     out = dealt.join(starts, [*LEVELS, "bucket"], "left").withColumn("n_copies", F.col("whole") + F.when((F.col("rest") > 0) & (reach <= F.col("rest")), 1).otherwise(0))
