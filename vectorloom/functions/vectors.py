@@ -95,18 +95,24 @@ def base64_text(b: ColumnLike) -> Column:
     return F.regexp_replace(F.base64(_c(b)), "[\r\n]", "")
 
 
-@F.arrow_udf("binary")
-def float_bytes(a: pa.Array) -> pa.Array:
-    """Raw little-endian 32-bit floats."""
+def _packed_floats(a: pa.Array) -> pa.Array:
     return pa.array([None if v is None else np.asarray(v, "<f4").tobytes() for v in a.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("array<float>")
-def floats_of_int8(b: pa.Array) -> pa.Array:
-    """Client-side view of an int8 embedding's bytes: numbers from -128 to 127."""
+def _int8_floats(b: pa.Array) -> pa.Array:
     return pa.array([None if v is None else np.frombuffer(v, np.int8).astype(np.float32).tolist() for v in b.to_pylist()], pa.list_(pa.float32()))
 
 
+def float_bytes(a: ColumnLike) -> Column:
+    """Raw little-endian 32-bit floats."""
+    return F.arrow_udf(_packed_floats, "binary")(_c(a))
+
+
+def floats_of_int8(b: ColumnLike) -> Column:
+    """Client-side view of an int8 embedding's bytes: numbers from -128 to 127."""
+    return F.arrow_udf(_int8_floats, "array<float>")(_c(b))
+
+
 def encode(a: ColumnLike, encoding: str) -> Column:
     """A vector in an API's encoding: float (the array), base64 (raw floats), base64_int8, base64_binary."""
     if encoding == "float":

@@ -1,10 +1,276 @@
-"""Named queries over the given tables and their SQL."""
+"""Named queries over the given tables, and the SQL that says the same.
+
+Numbers are rounded to six decimals, or whole; rankings are tie-broken by id.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import stats
+from ..functions import vectors as v
+from ..nn.fixtures import write_model
+from ..operators import embedding as E
+from ..operators import similarity as S
+from ..operators.registry import ModelRegistry
+from . import requests, serve
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@cache
+def models() -> ModelRegistry:
+    """Small models of each kind, written where the driver is; only local masters can open them."""
+    at = tempfile.mkdtemp(prefix="vectorloom-models-")
+    r = ModelRegistry()
+    r.register("embed", write_model(os.path.join(at, "embed"), "qwen3", hidden=64, heads=4, layers=2, intermediate=128), min_dim=8, query="query: ")
+    r.register("native", write_model(os.path.join(at, "native"), "base", hidden=64, heads=4, intermediate=128), api="perplexity", min_dim=8)
+    r.register("bert", write_model(os.path.join(at, "bert"), "bert", "wordpiece", hidden=64, heads=4, intermediate=128), min_dim=8)
+    r.register("context", write_model(os.path.join(at, "context"), "base", hidden=64, heads=4, intermediate=128), kind="contextual", min_dim=8)
+    r.register("late", write_model(os.path.join(at, "late"), "base", hidden=64, heads=4, intermediate=128, late_dim=32), kind="late")
+    return r
+
+
+_E = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
+_COS = "coalesce(CASE WHEN isfinite(list_cosine_similarity(a.e, b.e)) THEN list_cosine_similarity(a.e, b.e) END, 0)"
+
+
+@query(f"""SELECT qid, id, rank, round(c, 6) AS cosine FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {_COS} AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank
+FROM {_E} a, {_E} b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest neighbours of every twentieth vector: matrix products in blocks, then a ranking."""
+    e = table(spark, sf_dir, "embeddings")
+    top = S.top_k(e.where("vec_id % 20 = 0"), e, 5, "vec_id", "embedding", "vec_id", "embedding", exclude_same=True)
+    return top.select("qid", "id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_COS}, 6) AS cosine FROM {_E} a, {_E} b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 0")
+def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a set of vectors, diagonal included."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return S.cosine_matrix(e, e, "vec_id", "vec_id", "embedding", "embedding").withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"SELECT vec_id, list_transform(e, lambda x: round((x / sqrt(list_sum(list_transform(e, lambda y: y * y))))::FLOAT::DOUBLE, 5)) AS unit FROM {_E}")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.transform(v.l2_normalize("embedding"), lambda x: F.round(x.cast("double"), 5))
+    return table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("unit"))
+
+
+@query(f"SELECT vec_id, list_transform(e[1:32], lambda x: round((x / sqrt(list_sum(list_transform(e[1:32], lambda y: y * y))))::FLOAT::DOUBLE, 5)) AS short, len(e[1:32]) AS dims FROM {_E}")
+def matryoshka(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = v.matryoshka("embedding", 32, 64, True, True)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(short, lambda x: F.round(x.cast("double"), 5)).alias("short"), F.size(short).cast("long").alias("dims"))
+
+
+_Q8 = "list_transform(e, lambda x: CAST(greatest(least(round_even(tanh(x) * 127, 0), 127), -128) AS INTEGER))"
+
+
+@query(f"SELECT vec_id, {_Q8} AS q, list_transform({_Q8}, lambda q: q / 128.0::DOUBLE) AS view FROM {_E}")
+def int8_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = v.int8_quantize("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", q.cast("array<int>").alias("q"), v.int8_dequantize(q).cast("array<double>").alias("view"))
+
+
+@query(f"SELECT vec_id, base64(unhex(array_to_string(list_transform({_Q8}, lambda q: printf('%02X', (q + 256) % 256)), ''))) AS b64 FROM {_E}")
+def int8_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", v.encode("embedding", "base64_int8").alias("b64"))
+
+
+@query(f"""SELECT vec_id, base64(unhex(array_to_string(list_transform(range(0, len(e) // 8), lambda k: printf('%02X', list_sum(list_transform(range(0, 8), lambda i: CASE WHEN e[k * 8 + i + 1] >= 0 THEN 1 << i ELSE 0 END))::INTEGER)), ''))) AS b64 FROM {_E}""")
+def sign_bits_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", v.encode("embedding", "base64_binary").alias("b64"))
+
+
+@query()
+def float_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", v.encode("embedding", "base64").alias("b64"))
+
+
+@query(f"SELECT label, i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(e) AS x, unnest(range(0, len(e))) AS i FROM {_E}) GROUP BY label, i")
+def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label groups as sequences: the mean vector of each."""
+    means = S.pool_groups(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return means.select("label", F.posexplode("vec").alias("i", "m")).select("label", F.col("i").cast("long").alias("i"), F.round("m", 6).alias("mean"))
+
+
+@query("SELECT label, arg_min(vec_id, vec_id) AS cls_id, arg_max(vec_id, vec_id) AS last_id, round(arg_min(embedding, vec_id)[1]::DOUBLE, 6) AS cls_x, round(arg_max(embedding, vec_id)[1]::DOUBLE, 6) AS last_x FROM embeddings GROUP BY label")
+def cls_and_last_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    first, last = S.pool_groups(e, ["label"], "embedding", "cls", "vec_id"), S.pool_groups(e, ["label"], "embedding", "last", "vec_id")
+    ids = e.groupBy("label").agg(F.min("vec_id").alias("cls_id"), F.max("vec_id").alias("last_id"))
+    x = lambda c: F.round(F.get(c, F.lit(0)).cast("double"), 6)
+    return ids.join(first.select("label", x("vec").alias("cls_x")), "label").join(last.select("label", x("vec").alias("last_x")), "label")
+
+
+_TOKENS = f"(SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, e FROM {_E})"
+
+
+@query(f"SELECT label, pos // 5 AS span, count(*) // len(any_value(e)) AS n, round(sum(x * (i + 1)), 4) AS checksum FROM (SELECT label, pos, e, unnest(e) / 5 AS x, unnest(range(0, len(e))) AS i FROM (SELECT *, count(*) OVER (PARTITION BY label, pos // 5) AS whole FROM {_TOKENS}) WHERE whole = 5) GROUP BY label, pos // 5")
+def span_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over spans of five positions, by a join of spans with positions."""
+    from pyspark.sql import Window
+
+    tokens = table(spark, sf_dir, "embeddings").withColumn("pos", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).select("label", "pos", F.col("embedding").alias("vec"))
+    spans = tokens.groupBy("label", F.floor(F.col("pos") / 5).alias("span")).agg(F.count("*").alias("n")).where("n = 5").select("label", "span", (F.col("span") * 5).cast("int").alias("start"), F.lit(5).alias("n_tokens"))
+    means = S.span_means(tokens, spans, "label")
+    weighted = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return means.select("label", F.col("span").cast("long").alias("span"), F.lit(5).cast("long").alias("n"), F.round(weighted, 4).alias("checksum"))
+
+
+@query(f"""WITH q AS (SELECT label AS qid, pos, e FROM {_TOKENS} WHERE pos < 4), d AS (SELECT label AS doc_id, e FROM {_TOKENS}),
+s AS (SELECT qid, doc_id, pos, max(list_dot_product(q.e, d.e)) AS best FROM q, d WHERE qid <> doc_id GROUP BY qid, doc_id, pos), t AS (SELECT qid, doc_id, sum(best) AS sc FROM s GROUP BY qid, doc_id)
+SELECT qid, doc_id, round(sc, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 4) DESC, doc_id) AS rank FROM t) WHERE rank <= 3""")
+def maxsim_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label groups as multi-vector documents; the first four vectors of each as a query."""
+    from pyspark.sql import Window
+
+    tokens = table(spark, sf_dir, "embeddings").withColumn("pos", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).select("label", "pos", F.col("embedding").alias("vec"))
+    q, d = tokens.where("pos < 4").withColumnRenamed("label", "qid"), tokens.withColumnRenamed("label", "doc_id")
+    ids = tokens.select("label").distinct()
+    candidates = ids.withColumnRenamed("label", "qid").join(ids.withColumnRenamed("label", "doc_id"), F.expr("qid <> doc_id"))
+    scores = S.maxsim_scores(candidates, q, d).withColumn("score", F.round("score", 4))
+    return S.ranked(scores, 3)
+
+
+@query("""SELECT doc_id, list_transform(w, lambda x: len(x)) AS ids, len(w) AS n_tokens, CASE WHEN len(w) > 64 THEN list_append(list_transform(w, lambda x: len(x))[1:63], len(w[-1])) ELSE list_transform(w, lambda x: len(x)) END AS cut
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)""")
+def truncate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lengths as ids: cut to 64 with the last one kept."""
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.transform(w, lambda x: F.length(x).cast("long")).alias("ids"))
+    return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), v.truncate_ids("ids", 64, True).alias("cut"))
+
+
+_CHUNK = "(SELECT conv_id, turn, [len(text) % 100, len(role), turn] AS ids FROM conversations)"
+
+
+@query(f"""SELECT conv_id, count(*) AS chunks, sum(len(ids)) + count(*) - 1 AS doc_tokens, array_to_string(list(array_to_string(ids, ' ') ORDER BY turn), ' -1 ') AS packed FROM {_CHUNK} GROUP BY conv_id""")
+def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chunks of a conversation: packed with separators between."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.length("text") % 100, F.length("role"), F.col("turn").cast("int")).alias("ids"))
+    p = E.pack_chunks(c, ["conv_id"], "turn", "ids", -1)
+    return p.select("conv_id", F.size("spans").cast("long").alias("chunks"), F.size("ids").cast("long").alias("doc_tokens"), F.array_join("ids", " ").alias("packed"))
+
+
+@query("SELECT doc_id, list_transform(list_filter(list_zip(range(0, len(w)), w), lambda p: p[2] NOT IN (1, 2)), lambda p: p[1]) AS keep FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: len(x)) AS w FROM documents)")
+def keep_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lengths as ids, 1 and 2 skipped: the positions that a late document is scored at."""
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", v.keep_positions(F.transform(w, lambda x: F.length(x)), [1, 2]).cast("array<long>").alias("keep"))
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, quantile_disc(value, 0.9) AS rank90 FROM events GROUP BY event_type")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles with linear interpolation, and by nearest rank."""
+    e = table(spark, sf_dir, "events")
+    s = stats.summary(e, ["event_type"], "value", (0.5, 0.95))
+    return s.join(stats.nearest_rank(e, ["event_type"], "value", 0.9), "event_type").select("event_type", "n", F.round("mean", 6).alias("mean"), F.col("min").alias("lo"), F.col("max").alias("hi"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.col("value").alias("rank90"))
+
+
+@query("""WITH r AS (SELECT event_type, user_id % 2 = 0 AS one, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2 AS r FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2, sum(r) FILTER (one) - count(*) FILTER (one) * (count(*) FILTER (one) + 1) / 2 AS u FROM r GROUP BY event_type""")
+def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").withColumn("sample", (F.col("user_id") % 2).cast("string"))
+    return stats.mann_whitney(e, ["event_type"], "sample", "value", "0").select("event_type", "n1", "n2", "u")
+
+
+@query(f"""SELECT sum(len(list_filter(list_zip({_Q8}, {_Q8.replace('tanh(x)', 'tanh(x * 1.01)')}), lambda p: p[1] <> p[2]))) AS changed, sum(len(e)) AS total FROM {_E}""")
+def quantization_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many int8 components change when vectors grow by a hundredth."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("a")).withColumn("b", F.transform("a", lambda x: x * 1.01))
+    q = e.select(v.int8_quantize("a").alias("p"), v.int8_quantize("b").alias("q"))
+    return q.agg(F.sum(F.size(F.filter(F.zip_with("p", "q", lambda x, y: x != y), lambda x: x))).alias("changed"), F.sum(F.size("p")).alias("total"))
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of all sorts made of documents: right ones, and ones that break each rule in turn."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.substring("text", 1, 40).alias("t"))
+    k = F.col("request_id") % 8
+    fields = F.when(k == 0, F.to_json(F.struct(F.lit("embed").alias("model"), F.col("t").alias("input")))).when(k == 1, F.to_json(F.struct(F.lit("embed").alias("model"), F.array("t", F.lit("")).alias("input"))))
+    fields = fields.when(k == 2, F.to_json(F.struct(F.lit("nobody").alias("model"), F.array("t").alias("input")))).when(k == 3, F.to_json(F.struct(F.lit("embed").alias("model"), F.array("t").alias("input"), F.lit(4).alias("dimensions"))))
+    fields = fields.when(k == 4, F.to_json(F.struct(F.lit("late").alias("model"), F.array("t").alias("input")))).when(k == 5, F.to_json(F.struct(F.lit("embed").alias("model"), F.array("t").alias("input"), F.lit("base64_int8").alias("encoding_format"))))
+    fields = fields.when(k == 6, F.lit('{"model": "embed"')).otherwise(F.lit('{"model": "embed", "input": []}'))
+    return d.select("request_id", fields.alias("body"))
+
+
+@query("""SELECT doc_id AS request_id, CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'body.input.1:value_error.empty' WHEN 2 THEN 'body.model:enum' WHEN 3 THEN 'body.dimensions:value_error.range' WHEN 4 THEN 'body.model:enum' WHEN 5 THEN 'body.encoding_format:enum' WHEN 6 THEN 'body:value_error.json' ELSE 'body.input:value_error.list.min_items' END AS errors FROM documents""")
+def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of every request as location:type."""
+    checked = requests.validate_embeddings(_bodies(spark, sf_dir), models())
+    return checked.select("request_id", F.array_join(F.transform("errors", lambda e: F.concat(F.array_join(e["loc"], "."), F.lit(":"), e["type"])), ";").alias("errors"))
+
+
+@query()
+def serve_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.embeddings(_bodies(spark, sf_dir), models())
+
+
+@query()
+def serve_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    docs = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("chunks"))
+    return serve.contextual(docs.select(F.col("conv_id").alias("request_id"), F.to_json(F.struct(F.lit("context").alias("model"), F.array("chunks").alias("input"))).alias("body")), models())
+
+
+@query()
+def serve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    bodies = b.groupBy(F.floor(F.col("item_id") / 10).alias("request_id")).agg(F.min("text").alias("query"), F.array_sort(F.collect_list("text")).alias("documents"))
+    return serve.rerank(bodies.select("request_id", F.to_json(F.struct(F.lit("late").alias("model"), "query", "documents", F.lit(3).alias("top_n"), F.lit(True).alias("return_documents"))).alias("body")), models())
+
+
+@query()
+def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every text, cut to the model's cap."""
+    return E.tokenize(table(spark, sf_dir, "documents"), ["doc_id"], "text", models().models["embed"])
+
+
+@query()
+def embed_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled vectors of the benchmark's texts."""
+    return E.embed(table(spark, sf_dir, "benchmark"), ["item_id"], "text", models().models["embed"])
+
+
+@query()
+def embed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations in the context of the whole."""
+    return E.embed_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", models().models["context"])
+
+
+@query()
+def rerank_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth item as a query against all items: token vectors are made once, then ranked."""
+    m = models().models["late"]
+    b = table(spark, sf_dir, "benchmark")
+    q = E.late_vectors(b.where("item_id % 20 = 0"), ["item_id"], "text", m, True).withColumnRenamed("item_id", "qid")
+    d = E.late_vectors(b, ["item_id"], "text", m, False).withColumnRenamed("item_id", "doc_id")
+    candidates = q.select("qid").crossJoin(d.select("doc_id"))
+    return S.rerank(candidates, q, d, top_n=5)
+
+
+@query()
+def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models().describe(spark).drop("directory")
