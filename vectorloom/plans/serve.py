@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import embedding as E
 from ..operators import similarity as S
 from ..operators.registry import ModelRegistry, Served
+from ..session import ship
 from . import requests as R
 
 
@@ -20,6 +22,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a boundary: the many checks are computed once a row, not again in every filter and column above."""
+    return df.mapInArrow(_same, df.schema)
+
+
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return batches
+
+
 def _rendered(native: bool, renormalize: bool, full: int):
     """Embedding, dims, encoding to JSON text: truncated, made a unit vector again where the model asks for it, encoded."""
     def one(vec: list | None, dims: int, encoding: str) -> str | None:
@@ -59,7 +70,8 @@ def _ran(rows: DataFrame, key: str, field: str) -> DataFrame:
 
 def embeddings(requests: DataFrame, registry: ModelRegistry, key: str = "request_id", body: str = "body") -> DataFrame:
     """key, status (200 or 422), response. Requests are exploded to inputs, embedded model by model and gathered again."""
-    checked = R.validate_embeddings(requests, registry, body)
+    ship(requests.sparkSession)
+    checked = _settled(R.validate_embeddings(requests, registry, body))
     inputs = checked.where(F.size("errors") == 0).select(key, "model", "encoding", "dims", "text_type", F.posexplode("inputs").alias("index", "text"))
     parts = []
     for m in (m for m in registry.models.values() if m.kind == "standard"):
@@ -78,7 +90,8 @@ def embeddings(requests: DataFrame, registry: ModelRegistry, key: str = "request
 
 def contextual(requests: DataFrame, registry: ModelRegistry, key: str = "request_id", body: str = "body") -> DataFrame:
     """key, status, response: nested lists, a list of chunks for each document. Nothing is cut or normalised."""
-    checked = R.validate_contextual(requests, registry, body)
+    ship(requests.sparkSession)
+    checked = _settled(R.validate_contextual(requests, registry, body))
     docs = checked.where(F.size("errors") == 0).select(key, "model", "encoding", "dims", F.posexplode("documents").alias("doc", "chunks"))
     chunks = docs.select(F.struct(key, "doc", "model", "encoding", "dims").alias("d"), F.posexplode("chunks").alias("index", "text"))
     parts = []
@@ -98,7 +111,8 @@ def contextual(requests: DataFrame, registry: ModelRegistry, key: str = "request
 
 def rerank(requests: DataFrame, registry: ModelRegistry, key: str = "request_id", body: str = "body") -> DataFrame:
     """key, status, response: results by score, ties by index, at most top_n, with the documents where asked for."""
-    checked = R.validate_rerank(requests, registry, body)
+    ship(requests.sparkSession)
+    checked = _settled(R.validate_rerank(requests, registry, body))
     good = checked.where(F.size("errors") == 0)
     parts = []
     for m in (m for m in registry.models.values() if m.kind == "late"):
