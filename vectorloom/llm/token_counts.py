@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Shared, Spool, per_text, quoted, text_or_empty
 
 #: As many ids of misses are sent to every task; more are joined.
-BROADCAST_IDS = 100_000
+BROADCAST_IDS = 10_000
 WORDS_KEPT = 400_000
 
 
