@@ -38,10 +38,15 @@ def _finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def l2_normalize(a: ColumnLike) -> Column:
-    """Unit vector; null where the norm is zero or not finite."""
+def unit(a: ColumnLike) -> Column:
+    """Unit vector in double precision; null where the norm is zero or not finite."""
     n = norm(a)
-    return F.when(_finite(n) & (n > 0), F.transform(_double(a), lambda x: (x / n).cast("float")))
+    return F.when(_finite(n) & (n > 0), F.transform(_double(a), lambda x: x / n))
+
+
+def l2_normalize(a: ColumnLike) -> Column:
+    """Unit vector of floats; null where the norm is zero or not finite."""
+    return unit(a).cast("array<float>")
 
 
 def cosine_similarity(a: ColumnLike, b: ColumnLike) -> Column:

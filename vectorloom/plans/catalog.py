@@ -73,16 +73,16 @@ def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cosine_matrix(e, e, "vec_id", "vec_id", "embedding", "embedding").withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"SELECT vec_id, list_transform(e, lambda x: round((x / sqrt(list_sum(list_transform(e, lambda y: y * y))))::FLOAT::DOUBLE, 5)) AS unit FROM {_E}")
+@query(f"SELECT vec_id, list_transform(e, lambda x: round(x / sqrt(list_sum(list_transform(e, lambda y: y * y))), 6)) AS unit FROM {_E}")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = F.transform(v.l2_normalize("embedding"), lambda x: F.round(x.cast("double"), 5))
+    unit = F.transform(v.unit("embedding"), lambda x: F.round(x, 6))
     return table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("unit"))
 
 
-@query(f"SELECT vec_id, list_transform(e[1:32], lambda x: round((x / sqrt(list_sum(list_transform(e[1:32], lambda y: y * y))))::FLOAT::DOUBLE, 5)) AS short, len(e[1:32]) AS dims FROM {_E}")
+@query(f"SELECT vec_id, list_transform(e[1:32], lambda x: round(x / sqrt(list_sum(list_transform(e[1:32], lambda y: y * y))), 6)) AS short, len(e[1:32]) AS dims FROM {_E}")
 def matryoshka(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = v.matryoshka("embedding", 32, 64, True, True)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(short, lambda x: F.round(x.cast("double"), 5)).alias("short"), F.size(short).cast("long").alias("dims"))
+    short = v.unit(v.truncate_dims("embedding", 32))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(short, lambda x: F.round(x, 6)).alias("short"), F.size(short).cast("long").alias("dims"))
 
 
 _Q8 = "list_transform(e, lambda x: CAST(greatest(least(round_even(tanh(x) * 127, 0), 127), -128) AS INTEGER))"

@@ -15,7 +15,7 @@ STREAM_ERROR = "tokenization failed"
 def lines(spark: SparkSession, path: str, streaming: bool = False, **options: str) -> DataFrame:
     """text: the lines of files, blank ones skipped, ends trimmed of their newline. Lines of any length are whole."""
     reader = (spark.readStream if streaming else spark.read).options(**options)
-    return reader.text(path).select(F.rtrim(F.lit("\r"), F.col("value")).alias("text")).where("length(text) > 0")
+    return reader.text(path).select(F.rtrim(F.col("value"), F.lit("\r")).alias("text")).where("length(text) > 0")
 
 
 def arguments(spark: SparkSession, args: Sequence[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def ndjson(embedding: str | Column, n_tokens: str | Column, error: str | Column,
     n = F.col(n_tokens) if isinstance(n_tokens, str) else n_tokens
     bad = F.col(error) if isinstance(error, str) else error
     took = F.lit(None).cast("double") if ms is None else F.col(ms) if isinstance(ms, str) else ms
-    good = F.concat(F.lit('{"embedding":'), json_array(e), F.lit(',"dim":'), F.size(e), F.lit(',"tokens":'), n, F.lit(',"ms":'), F.coalesce(F.format_string("%.3f", took), F.lit("0.000")), F.lit(f',"workspace_bytes":{workspace}}}'))
+    good = F.concat(F.lit('{"embedding":'), json_array(e), F.lit(',"dim":'), F.size(e), F.lit(',"tokens":'), n, F.lit(',"ms":'), F.format_string("%.3f", F.coalesce(took, F.lit(0.0))), F.lit(f',"workspace_bytes":{workspace}}}'))
     return F.when(bad.isNull(), good).otherwise(F.to_json(F.struct(bad.alias("error"))))
 
 
