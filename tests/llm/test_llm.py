@@ -339,7 +339,7 @@ def slow_chain(x, y):
 def test_chain_covers_every_anchor_once(anchors):
     x, y = np.array(anchors).T
     chains = substring_dedup.chain(x, y, least=1)
-    assert all(x0 < x1 and y0 < y1 for x0, x1, y0, y1, _ in chains)
+    assert all(x0 < x1 and y0 < y1 for x0, x1, y0, y1, *_ in chains)
     assert {(c[0], c[2]) for c in chains} <= set(map(tuple, anchors))
 
 
