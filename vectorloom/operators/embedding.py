@@ -76,7 +76,7 @@ def tokenize_late(df: DataFrame, keys: list[str], text: str, model: Served, is_q
     def one(t: Tokenizer, x: str | None) -> tuple:
         try:
             ids, keep = t.encode_late(x or "", is_query)
-            return (ids, keep, None) if len(ids) <= cap else (None, None, f"input exceeds {cap} token limit")
+            return (ids, keep, None) if len(ids) <= cap else (None, None, f"{'query' if is_query else 'document'} exceeds {cap} token limit")
         except (ValueError, IndexError) as e:
             return None, None, str(e)
 

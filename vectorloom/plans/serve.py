@@ -63,20 +63,22 @@ def _answers(checked: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def _ran(rows: DataFrame, key: str, field: str) -> DataFrame:
     """key, error list of requests with a failed item or too many tokens."""
-    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct(F.col("at").alias("loc"), F.col("error").alias("msg"), F.lit("value_error.context_length").alias("type"))))).alias("failed"), F.sum(F.coalesce("n_tokens", F.lit(0))).alias("tokens"))
+    limit = F.col("error").endswith("token limit")
+    what = F.struct(F.col("at").alias("loc"), F.when(limit, F.col("error")).otherwise("tokenization failed").alias("msg"), F.when(limit, "value_error.context_length").otherwise("value_error.tokenization").alias("type"))
+    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), what))).alias("failed"), F.sum(F.coalesce("n_tokens", F.lit(0))).alias("tokens"))
     over = R.over_request_limit(F.col("tokens"), field)
     return by.select(key, "tokens", F.filter(F.concat(F.col("failed"), F.array(over)), lambda e: e.isNotNull()).alias("failed"))
 
 
-def embeddings(requests: DataFrame, registry: ModelRegistry, key: str = "request_id", body: str = "body") -> DataFrame:
-    """key, status (200 or 422), response. Requests are exploded to inputs, embedded model by model and gathered again."""
+def embeddings(requests: DataFrame, registry: ModelRegistry, key: str = "request_id", body: str = "body", auto_truncate: bool = False) -> DataFrame:
+    """key, status (200 or 422), response. Texts beyond a model's cap are cut with ``auto_truncate``, else refused. Requests are exploded to inputs, embedded model by model and gathered again."""
     ship(requests.sparkSession)
     checked = _settled(R.validate_embeddings(requests, registry, body))
     inputs = checked.where(F.size("errors") == 0).select(key, "model", "encoding", "dims", "text_type", F.posexplode("inputs").alias("index", "text"))
     parts = []
     for m in (m for m in registry.models.values() if m.kind == "standard"):
         text = F.when(F.col("text_type") == "query", F.concat(F.lit(m.query or ""), "text")).otherwise(F.col("text"))
-        rows = E.embed(inputs.where(F.col("model") == m.label).withColumn("text", text), [key, "index", "model", "encoding", "dims"], "text", m)
+        rows = E.embed(inputs.where(F.col("model") == m.label).withColumn("text", text), [key, "index", "model", "encoding", "dims"], "text", m, cut=auto_truncate)
         parts.append(rows.withColumn("embedding", _encoded(m, True)))
     if not parts:
         return _answers(checked, checked.limit(0).select(key, F.lit(200).alias("status"), F.lit("").alias("response")), key)

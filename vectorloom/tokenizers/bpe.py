@@ -23,13 +23,28 @@ SYMBOLS = (
     "̀-ͯ", "¡-©", "«-´", "¶-¹", "»-¿", "×", "÷", "ً-ٟ", "ऀ-ः",
     "ऺ-ॏ", "॑-ॗ", "ॢॣ", " -⁯", "←-➿", "⸀-⹿", "　-〿", "\U0001f000-\U0001faff",
 )
+
+
+def _others(*classes: tuple[str, ...]) -> str:
+    """Ranges beyond ASCII that none of the classes covers."""
+    parts = [p for c in classes for p in c]
+    taken = sorted((ord(x[0]), ord(x[-1])) for p in parts for x in ([p] if p[1:2] == "-" else p))
+    out, at = [], 0x80
+    for lo, hi in taken:
+        if lo > at:
+            out.append(f"{chr(at)}-{chr(lo - 1)}")
+        at = max(at, hi + 1)
+    return "".join([*out, f"{chr(at)}-\U0010ffff"])
+
+
 _S, _N = "".join(SPACES), "".join(NUMBERS)
-_LETTER = f"(?:[A-Za-z]|(?![{_S}{_N}{''.join(SYMBOLS)}])[^\x00-\x7f])"
-_SIGN = f"(?:(?!{_LETTER})[^{_S}{_N}])"
+_L = "A-Za-z" + _others(SPACES, NUMBERS, SYMBOLS)
+_LETTER = f"[{_L}]"
+_SIGN = f"[^{_L}{_S}{_N}]"
 _SPLIT = re.compile(
     "|".join((
         "'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])",
-        f"(?!{_LETTER})[^\r\n{_N}]{_LETTER}+",
+        f"[^\r\n{_N}{_L}]{_LETTER}+",
         f"{_LETTER}+",
         f"[{_N}]",
         f"(?:(?![\r\n])[{_S}])*[\r\n]+",
