@@ -13,15 +13,15 @@ from .base import ASCII_PUNCTUATION, FALLBACK_IDS, Tokenizer
 
 #: Which ASCII letters a combining mark joins; other pairs stay apart.
 COMPOSED = {
-    "̀": "AEIOUaeiou", "́": "ACEILNORSUYZaceilnorsuyz", "̂": "AEIOUaeiou", "̃": "ANOano",
-    "̈": "AEIOUYaeiouy", "̊": "Aa", "̧": "Cc",
+    "\u0300": "AEIOUaeiou", "\u0301": "ACEILNORSUYZaceilnorsuyz", "\u0302": "AEIOUaeiou", "\u0303": "ANOano",
+    "\u0308": "AEIOUYaeiouy", "\u030a": "Aa", "\u0327": "Cc",
 }
 #: The character classes. Whatever beyond ASCII is in none of them is a letter.
 NUMBERS = ("0-9", "٠-٩", "۰-۹", "०-९", "０-９")
-SPACES = ("\t-\r", " ", "\x85", "\xa0", " ", " - ", " ", " ", " ", " ", "　")
+SPACES = ("\t-\r", " ", "\x85", "\xa0", "\u1680", "\u2000-\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 SYMBOLS = (
-    "̀-ͯ", "¡-©", "«-´", "¶-¹", "»-¿", "×", "÷", "ً-ٟ", "ऀ-ः",
-    "ऺ-ॏ", "॑-ॗ", "ॢॣ", " -⁯", "←-➿", "⸀-⹿", "　-〿", "\U0001f000-\U0001faff",
+    "\u0300-\u036f", "¡-\u00a9", "«-´", "¶-¹", "»-¿", "×", "÷", "\u064b-\u065f", "\u0900-\u0903",
+    "\u093a-\u094f", "\u0951-\u0957", "\u0962\u0963", "\u2000-\u206f", "←-\u27bf", "⸀-\u2e7f", "\u3000-\u303f", "\U0001f000-\U0001faff",
 )
 
 

@@ -12,7 +12,7 @@ from .base import Tokenizer
 
 LONGEST_WORD = 100
 #: What counts as white space, and the CJK ranges whose characters are words.
-_SPACES = frozenset(" \t\n\r\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+_SPACES = frozenset(" \t\n\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 _CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
 
 
@@ -20,7 +20,7 @@ _CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73
 def _clean(ch: str) -> str:
     if ch in _SPACES:
         return " "
-    if ch in "\0�" or unicodedata.category(ch) in ("Cc", "Cf", "Co"):
+    if ch in "\0\ufffd" or unicodedata.category(ch) in ("Cc", "Cf", "Co"):
         return ""
     return f" {ch} " if any(lo <= ord(ch) <= hi for lo, hi in _CJK) else ch
 
