@@ -43,7 +43,7 @@ _NOT_ARTICLE = frozenset("ad ads advert adverts advertisement advertising adbox
 _ARTICLE = frozenset("article content main post entry story body text page".split())
 _CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile("[0-9]+")
-_SPACE = re.compile(r"[\s ]+")
+_SPACE = re.compile(r"\s+")
 #: End tags that an open tag of the same kind implies; paragraphs and cells are often left open.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())

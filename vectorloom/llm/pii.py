@@ -31,9 +31,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOKALIKES = {
     "a": "аα", "c": "сϲ", "d": "ԁ", "e": "еε", "h": "һ", "i": "іι", "j": "ј", "k": "κ", "l": "ӏ", "n": "ո", "o": "оο", "p": "рρ", "s": "ѕ", "t": "τ", "u": "υ", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уγ",
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ΥУ", "Z": "Ζ",
-    "@": "＠﹫", ".": "．․。｡", "-": "‐‑‒–—−－", "+": "＋﹢", " ": "    　",
+    "@": "＠﹫", ".": "．․。｡", "-": "‐‑‒–—−－", "+": "＋﹢", " ": "\u00a0\u2007\u2009\u202f\u3000",
 }
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 #: As many spelled digits at least are read as a number.
 SPELLED_RUN = 4
