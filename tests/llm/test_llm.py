@@ -373,6 +373,20 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_null_ids(spark):
+    """Every row is a row of the result, also where it repeats another or has no id."""
+    texts = [prose(40, 80), prose(40, 80), None, "all rights reserved", prose(41, 60) + " " + prose(40, 80)]
+    df = docs(spark, texts, [1, 1, 1, None, 5])
+    bench = spark.createDataFrame([(1, prose(40, 80))], "item_id long, text string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = toxicity.Model({}, {}, (-1.0, 1.0, 0.0, 0.0))
+    for out in (pii.find_pii(df), decontaminate.find_contamination(df, bench), licenses.scan_licenses(df), token_counts.token_counts(df, path), simhash.near_duplicates(df), exact_dedup.exact_duplicates(df), toxicity.score_toxicity(df, model)):
+        assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 1, 1, 5]
+    rows = substring_dedup.repeated_passages(df).collect()
+    assert {(r.doc_id, r.other_id, r.start_word, r.end_word) for r in rows} == {(5, 1, 60, 140)}
+    assert mixing.mix(df).where("doc_id = 1").count() <= 3
+
+
 # --- op3
 
 def slow_budgets(leaves, total, weights):
