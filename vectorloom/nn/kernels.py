@@ -24,8 +24,14 @@ def linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray | None = None) ->
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
+    return softmax_inplace(x.copy())
+
+
+def softmax_inplace(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
 
 
 def swiglu(gate: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -70,14 +76,14 @@ def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, lengths: list[int], c
     out, scale, start = np.empty_like(q), np.float32(1 / np.sqrt(q.shape[2])), 0
     for n in lengths:
         part = slice(start, start + n)
-        qs = q[part].reshape(n, groups, heads // groups, -1).transpose(1, 2, 0, 3)
+        qs = (q[part] * scale).reshape(n, groups, heads // groups, -1).transpose(1, 2, 0, 3)
         ks, vs = k[part].transpose(1, 2, 0)[:, None], v[part].transpose(1, 0, 2)[:, None]
         for t in range(0, n, QUERY_TILE):
             reach = min(t + QUERY_TILE, n) if causal else n
-            w = (qs[:, :, t : t + QUERY_TILE] @ ks[..., :reach]) * scale
+            w = qs[:, :, t : t + QUERY_TILE] @ ks[..., :reach]
             if causal:
                 w = np.where(np.arange(reach)[None] <= np.arange(t, min(t + QUERY_TILE, n))[:, None], w, np.float32(-np.inf))
-            got = softmax(w) @ vs[:, :, :reach]
+            got = softmax_inplace(w) @ vs[:, :, :reach]
             out[start + t : start + t + got.shape[2]] = got.transpose(2, 0, 1, 3).reshape(got.shape[2], heads, -1)
         start += n
     return out

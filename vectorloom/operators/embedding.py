@@ -26,8 +26,9 @@ def _tokenizer(directory: str, append_terminal: bool) -> Tokenizer:
     return open_tokenizer(directory, append_terminal)
 
 
-def _stage(df: DataFrame, keys: list[str], value: str, columns: str, work: Callable[[list], dict[str, list]]) -> DataFrame:
-    """``keys`` beside the columns that ``work`` makes of a batch's values."""
+def _stage(df: DataFrame, keys: list[str], value: str, columns: str, work: Callable[[list], dict[str, list]], tasks: int | None = None) -> DataFrame:
+    """``keys`` beside the columns that ``work`` makes of a batch's values. With ``tasks`` the rows are dealt out to as many tasks
+    first: worth a shuffle where few bytes make much work, which partitions by size don't see."""
     ship(df.sparkSession)
     schema = df.select(*keys).schema
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), columns])
@@ -38,7 +39,8 @@ def _stage(df: DataFrame, keys: list[str], value: str, columns: str, work: Calla
             arrays = [pa.array(v, _ARROW[c]) for c, v in made.items()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *arrays], names=[*keys, *made])
 
-    return df.select(*keys, value).mapInArrow(run, ddl)
+    rows = df.select(*keys, value)
+    return (rows.repartition(tasks) if tasks else rows).mapInArrow(run, ddl)
 
 
 _ints, _floats = pa.list_(pa.int32()), pa.list_(pa.float32())
@@ -57,7 +59,7 @@ def _encoded(t: Tokenizer, text: str | None, instruct: str | None, cap: int, cut
     return ids, None
 
 
-def tokenize(df: DataFrame, keys: list[str], text: str, model: Served, instruct: str | None = None, cut: bool = True) -> DataFrame:
+def tokenize(df: DataFrame, keys: list[str], text: str, model: Served, instruct: str | None = None, cut: bool = True, tasks: int | None = None) -> DataFrame:
     """keys, ids, n_tokens, error. Null and empty texts are errors; texts beyond the model's cap are cut, or errors if not ``cut``."""
     place, terminal, cap, tail = model.directory, model.config.append_terminal, model.token_cap, model.keep_tail
 
@@ -66,7 +68,7 @@ def tokenize(df: DataFrame, keys: list[str], text: str, model: Served, instruct:
         got = [_encoded(t, x, instruct, cap, cut, tail) for x in texts]
         return {"ids": [i for i, _ in got], "n_tokens": [len(i) if i else None for i, _ in got], "error": [e for _, e in got]}
 
-    return _stage(df, keys, text, "ids array<int>, n_tokens int, error string", work)
+    return _stage(df, keys, text, "ids array<int>, n_tokens int, error string", work, tasks)
 
 
 def tokenize_late(df: DataFrame, keys: list[str], text: str, model: Served, is_query: bool) -> DataFrame:
@@ -88,7 +90,7 @@ def tokenize_late(df: DataFrame, keys: list[str], text: str, model: Served, is_q
     return _stage(df, keys, text, "ids array<int>, keep array<int>, n_tokens int, error string", work)
 
 
-def embed(df: DataFrame, keys: list[str], text: str, model: Served, instruct: str | None = None, cut: bool = True) -> DataFrame:
+def embed(df: DataFrame, keys: list[str], text: str, model: Served, instruct: str | None = None, cut: bool = True, tasks: int | None = None) -> DataFrame:
     """keys, embedding, n_tokens, error: one pooled vector a text. Batches are packed by length within a token budget."""
     place, terminal, cap, tail = model.directory, model.config.append_terminal, model.token_cap, model.keep_tail
 
@@ -103,7 +105,7 @@ def embed(df: DataFrame, keys: list[str], text: str, model: Served, instruct: st
             out["embedding"][i], out["error"][i] = v, e
         return out
 
-    return _stage(df, keys, text, "embedding array<float>, n_tokens int, error string", work)
+    return _stage(df, keys, text, "embedding array<float>, n_tokens int, error string", work, tasks)
 
 
 def embed_distinct(df: DataFrame, keys: list[str], text: str, model: Served, instruct: str | None = None) -> DataFrame:
@@ -124,7 +126,7 @@ def pack_chunks(df: DataFrame, keys: list[str], chunk_index: str, ids: str, sepa
     return chunks.withColumn("p", packed).select(*keys, "p.ids", "p.spans", F.transform("c", lambda x: x["i"]).alias("chunks"))
 
 
-def embed_chunks(df: DataFrame, doc: str, chunk_index: str, text: str, model: Served) -> DataFrame:
+def embed_chunks(df: DataFrame, doc: str, chunk_index: str, text: str, model: Served, tasks: int | None = None) -> DataFrame:
     """doc, chunk index, embedding, n_tokens (of the packed document), error: each chunk in its document's context.
 
     A document with a bad chunk, or beyond the model's cap, is an error in all of its chunks; nothing is cut."""
@@ -148,13 +150,13 @@ def embed_chunks(df: DataFrame, doc: str, chunk_index: str, text: str, model: Se
         made = run_packed(rows, run, lambda e: (None, str(e)))
         return {"embeddings": [x for x, _ in made], "n_tokens": [len(r) for r in rows], "error": [e for _, e in made]}
 
-    out = _stage(value, [doc, "chunks"], "value", "embeddings array<array<float>>, n_tokens int, error string", work)
+    out = _stage(value, [doc, "chunks"], "value", "embeddings array<array<float>>, n_tokens int, error string", work, tasks or df.sparkSession.sparkContext.defaultParallelism)
     each = out.select(doc, "n_tokens", "error", F.posexplode("chunks").alias("k", chunk_index), "embeddings").select(doc, chunk_index, F.get("embeddings", "k").alias("embedding"), "n_tokens", "error")
     failed = checked.where("error IS NOT NULL").select(doc, chunk_index, F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("int").alias("n_tokens"), "error")
     return each.union(failed)
 
 
-def late_vectors(df: DataFrame, keys: list[str], text: str, model: Served, is_query: bool) -> DataFrame:
+def late_vectors(df: DataFrame, keys: list[str], text: str, model: Served, is_query: bool, tasks: int | None = None) -> DataFrame:
     """keys, vectors (unit vectors of the scored tokens), n_tokens, error. Made once, a document's vectors serve every query."""
     tokens = tokenize_late(df, keys, text, model, is_query)
     place = model.directory
@@ -169,4 +171,4 @@ def late_vectors(df: DataFrame, keys: list[str], text: str, model: Served, is_qu
             out["vectors"][i], out["error"][i] = v, e
         return out
 
-    return _stage(tokens.select(*keys, F.struct("ids", "keep", "error").alias("value")), keys, "value", "vectors array<array<float>>, n_tokens int, error string", work)
+    return _stage(tokens.select(*keys, F.struct("ids", "keep", "error").alias("value")), keys, "value", "vectors array<array<float>>, n_tokens int, error string", work, tasks)

@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for stages whose work is large beside their bytes."""
+    return spark.sparkContext.defaultParallelism
+
+
 @cache
 def models() -> ModelRegistry:
     """Small models of each kind, written where the driver is; only local masters can open them."""
@@ -245,13 +250,13 @@ def serve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text, cut to the model's cap."""
-    return E.tokenize(table(spark, sf_dir, "documents"), ["doc_id"], "text", models().models["embed"])
+    return E.tokenize(table(spark, sf_dir, "documents"), ["doc_id"], "text", models().models["embed"], tasks=tasks(spark))
 
 
 @query()
 def embed_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled vectors of the benchmark's texts."""
-    return E.embed(table(spark, sf_dir, "benchmark"), ["item_id"], "text", models().models["embed"])
+    return E.embed(table(spark, sf_dir, "benchmark"), ["item_id"], "text", models().models["embed"], tasks=tasks(spark))
 
 
 @query()
@@ -265,8 +270,8 @@ def rerank_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth item as a query against all items: token vectors are made once, then ranked."""
     m = models().models["late"]
     b = table(spark, sf_dir, "benchmark")
-    q = E.late_vectors(b.where("item_id % 20 = 0"), ["item_id"], "text", m, True).withColumnRenamed("item_id", "qid")
-    d = E.late_vectors(b, ["item_id"], "text", m, False).withColumnRenamed("item_id", "doc_id")
+    q = E.late_vectors(b.where("item_id % 20 = 0"), ["item_id"], "text", m, True, tasks(spark)).withColumnRenamed("item_id", "qid")
+    d = E.late_vectors(b, ["item_id"], "text", m, False, tasks(spark)).withColumnRenamed("item_id", "doc_id")
     candidates = q.select("qid").crossJoin(d.select("doc_id"))
     return S.rerank(candidates, q, d, top_n=5)
 
