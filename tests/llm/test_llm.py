@@ -336,24 +336,50 @@ def slow_chain(x, y):
 
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25, unique=True))
 @settings(max_examples=100, deadline=None)
-def test_chain_covers_every_anchor_once(anchors):
+def test_chain_runs(anchors):
     x, y = np.array(anchors).T
-    chains = substring_dedup.chain(x, y, least=1)
-    assert all(x0 < x1 and y0 < y1 for x0, x1, y0, y1, *_ in chains)
-    assert {(c[0], c[2]) for c in chains} <= set(map(tuple, anchors))
+    for _, chained in substring_dedup.chain(x, y, least=1):
+        assert all((a, a + d) in anchors and (b, b + d) in anchors and a <= b for a, b, d in chained)
+        assert all(p[1] < q[0] and p[1] + p[2] < q[0] + q[2] for p, q in zip(chained, chained[1:]))
 
 
 def test_chain_score():
     x, y = np.array([0, 10, 20, 30, 200]), np.array([5, 15, 25, 36, 3])
-    top = max(c[4] for c in substring_dedup.chain(x, y, least=1))
-    assert top == pytest.approx(slow_chain(x.tolist(), y.tolist()))
-
-
-def test_alignment():
-    a = list(range(100))
-    b = [900, *range(40), 901, 902, *range(42, 70), *range(72, 100)]
-    a0, a1, b0, b1, equal, n = substring_dedup.align(a, b)
-    assert (a0, a1, b0, b1) == (0, 100, 1, 99 + 1 - 2 + 1) and equal == 96 and n == 100
+    score, chained = max(substring_dedup.chain(x, y))
+    assert score == pytest.approx(slow_chain(x.tolist(), y.tolist())) and chained == [[0, 20, 5], [30, 30, 6]]
+
+
+def slow_align(a, b, miss=substring_dedup.MISS):
+    """Smith-Waterman over all cells: the best score."""
+    best, old = 0.0, [0.0] * (len(b) + 1)
+    for w in a:
+        row = [0.0]
+        for j, u in enumerate(b):
+            row.append(max(0.0, old[j] + (1.0 if w == u else -miss), old[j + 1] - miss, row[j] - miss))
+        best, old = max(best, *row), row
+    return best
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 79)), max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_alignment(edits):
+    """Texts that differ by changed, missing and extra words, far enough apart for anchors between."""
+    a = list(range(80))
+    b = [300, 301, 302, *a]
+    for kind, at in edits:
+        at += 3
+        if kind == 1:
+            b[min(at, len(b) - 1)] = 900 + at
+        elif kind == 2 and at < len(b) - 1:
+            del b[at]
+        elif kind == 3:
+            b.insert(at, 700 + at)
+    at = {w: i for i, w in enumerate(b)}
+    anchors = [(i, at[i]) for i in range(0, 76) if all(at.get(i + k) == at.get(i, -9) + k for k in range(5))]
+    score, chained = max(substring_dedup.chain(*np.array(anchors).T))
+    a0, a1, b0, b1, equal, n = substring_dedup.align(np.array(a), np.array(b), chained)
+    assert equal - substring_dedup.MISS * (n - equal) >= 0.9 * slow_align(a, b)
+    assert equal <= min(a1 - a0, b1 - b0) <= max(a1 - a0, b1 - b0) <= n
 
 
 def test_passages(spark):
