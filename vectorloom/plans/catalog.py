@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -279,3 +279,90 @@ def rerank_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models().describe(spark).drop("directory")
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _words() -> Column:
+    return F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+
+
+@query(f"SELECT source, count(*) AS requests, sum(len(w)) AS prompt_tokens, sum(least(len(w), 512)) AS used_tokens, max(len(w)) AS longest FROM (SELECT source, {_WORDS} AS w FROM documents) GROUP BY source")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of tokens by source, before and after a cap of 512."""
+    n = table(spark, sf_dir, "documents").select("source", F.size(_words()).cast("long").alias("n"))
+    cap = v.token_cap(F.lit(512), F.lit(0), F.lit(16384)).cast("long")
+    return n.groupBy("source").agg(F.count("*").alias("requests"), F.sum("n").alias("prompt_tokens"), F.sum(F.least("n", cap)).alias("used_tokens"), F.max("n").alias("longest"))
+
+
+@query(f"SELECT doc_id, list_concat(list_concat(list_concat(l[1:1], [-7]), l[2:]), CASE WHEN len(l) + 1 < 32 THEN list_transform(range(len(l) + 1, 32), lambda x: -9::BIGINT) ELSE [] END) AS ids FROM (SELECT doc_id, list_transform({_WORDS}, lambda x: len(x)) AS l FROM documents) WHERE len(l) > 0")
+def late_query_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lengths as ids in the late query layout: the mark second, masks up to 32."""
+    ids = F.transform(_words(), lambda x: F.length(x).cast("long"))
+    return table(spark, sf_dir, "documents").select("doc_id", ids.alias("l")).where("size(l) > 0").select("doc_id", v.late_layout("l", -7, -9).alias("ids"))
+
+
+@query(f"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS token FROM documents), n AS (SELECT token, count(*) AS n FROM w GROUP BY token), voc AS (SELECT token, row_number() OVER (ORDER BY n DESC, token COLLATE \"C\") - 1 AS id FROM n ORDER BY n DESC, token COLLATE \"C\" LIMIT 500) SELECT doc_id, count(*) AS n_tokens, count(id) AS n_known, sum(coalesce(id, -1)) AS checksum FROM w LEFT JOIN voc USING (token) GROUP BY doc_id")
+def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 500 commonest words as a vocabulary, joined back to every word; -1 for words that it lacks."""
+    from pyspark.sql import Window
+
+    w = table(spark, sf_dir, "documents").select("doc_id", F.explode(_words()).alias("token"))
+    top = w.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(500)
+    voc = top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).alias("id"))
+    found = w.join(F.broadcast(voc), "token", "left")  # 500 rows
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count("id").alias("n_known"), F.sum(F.coalesce("id", F.lit(-1))).alias("checksum"))
+
+
+@query(f"SELECT vec_id, list_transform({_Q8}, lambda q: q::DOUBLE) AS decoded FROM {_E}")
+def int8_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a client reads out of a base64 int8 answer."""
+    sent = table(spark, sf_dir, "embeddings").select("vec_id", v.encode("embedding", "base64_int8").alias("b64"))
+    return sent.select("vec_id", v.floats_of_int8(F.unbase64("b64")).cast("array<double>").alias("decoded"))
+
+
+@query(f"SELECT vec_id, array_to_string(list_transform(e, lambda x: printf('%.8f', x)), ' ') AS line FROM {_E}")
+def plain_text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as lines of eight decimals."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", v.format_floats("embedding").alias("line"))
+
+
+@query(f"SELECT count(*) AS n, round(min(c), 6) AS worst, round(avg(c), 6) AS mean FROM (SELECT list_cosine_similarity(e, list_transform({_Q8}, lambda q: q / 128.0::DOUBLE)) AS c FROM {_E})")
+def backend_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of vectors with their int8 views, row by row."""
+    e = table(spark, sf_dir, "embeddings")
+    both = stats.compare_results(e, e.select("vec_id", v.int8_float_view("embedding").alias("embedding")), "vec_id", "embedding")
+    return both.agg(F.count("*").alias("n"), F.round(F.min("cosine"), 6).alias("worst"), F.round(F.avg("cosine"), 6).alias("mean"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (trim(coalesce(text, '')) = '') AS blank, count(*) FILTER (length(text) > 20000) AS refused, count(DISTINCT text) AS texts FROM documents")
+def row_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a stream skips or refuses, and distinct texts."""
+    d = table(spark, sf_dir, "documents")
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    return d.agg(F.count("*").alias("n"), F.count_if(blank).alias("blank"), F.count_if(F.length("text") > 20000).alias("refused"), F.countDistinct("text").alias("texts"))
+
+
+@query("""SELECT conv_id AS request_id, CASE WHEN conv_id % 4 = 0 THEN '' WHEN conv_id % 4 = 1 THEN 'body.input.0:value_error.list.min_items' WHEN conv_id % 4 = 2 THEN 'body.model:missing;body.input.0.0:value_error.empty' ELSE 'body.input:type_error.array' END AS errors FROM conversations GROUP BY conv_id""")
+def validate_contextual_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("request_id")).agg(F.min("text").alias("t"))
+    k = F.col("request_id") % 4
+    good = F.to_json(F.struct(F.lit("context").alias("model"), F.array(F.array("t")).alias("input")))
+    body = F.when(k == 0, good).when(k == 1, F.lit('{"model": "context", "input": [[]]}')).when(k == 2, F.lit('{"input": [[""]]}')).otherwise(F.lit('{"model": "context", "input": "x"}'))
+    return _error_names(requests.validate_contextual(c.select("request_id", body.alias("body")), models()))
+
+
+@query("""SELECT item_id AS request_id, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'body.top_n:value_error.range' WHEN 2 THEN 'body.query:value_error.empty;body.top_n:value_error.conflict;body.return_documents:type_error.bool' ELSE 'body.documents.1:type_error.string' END AS errors, CASE item_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 9 WHEN 2 THEN 1 ELSE 2 END AS top_n FROM benchmark""")
+def validate_rerank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), "text")
+    k = F.col("request_id") % 4
+    good = F.to_json(F.struct(F.lit("late").alias("model"), F.col("text").alias("query"), F.array("text", "text").alias("documents")))
+    body = F.when(k == 0, good).when(k == 1, F.lit('{"model": "late", "query": "q", "documents": ["a"], "top_n": 9}'))
+    body = body.when(k == 2, F.lit('{"model": "late", "query": "", "documents": ["a"], "top_n": 1, "top_k": 1, "return_documents": 1}')).otherwise(F.lit('{"model": "late", "query": "q", "documents": ["a", 3]}'))
+    checked = requests.validate_rerank(b.select("request_id", body.alias("body")), models())
+    return _error_names(checked, "top_n")
+
+
+def _error_names(checked: DataFrame, *more: str) -> DataFrame:
+    return checked.select("request_id", F.array_join(F.transform("errors", lambda e: F.concat(F.array_join(e["loc"], "."), F.lit(":"), e["type"])), ";").alias("errors"), *more)
