@@ -383,6 +383,54 @@ def test_alignment(edits):
     assert equal <= min(a1 - a0, b1 - b0) <= max(a1 - a0, b1 - b0) <= n
 
 
+def edited(edits):
+    """A text of 80 different words, one that differs from it by ``edits``, and the best chain of their five-word anchors."""
+    a = list(range(80))
+    b = [300, 301, 302, *a]
+    for kind, at in edits:
+        at += 3
+        if kind == 1:
+            b[min(at, len(b) - 1)] = 900 + at
+        elif kind == 2 and at < len(b) - 1:
+            del b[at]
+        elif kind == 3:
+            b.insert(at, 700 + at)
+    at = {w: i for i, w in enumerate(b)}
+    anchors = [(i, at[i]) for i in range(0, 76) if all(at.get(i + k) == at.get(i, -9) + k for k in range(5))]
+    return np.array(a), np.array(b), max(substring_dedup.chain(*np.array(anchors).T))[1]
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 79)), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_alignment_with_ends(edits):
+    a, b, chained = edited(edits)
+    *_, equal, n = substring_dedup.align(a, b, chained)
+    assert equal - substring_dedup.MISS * (n - equal) >= 0.9 * slow_align(a, b)
+
+
+def test_indels_beyond_the_outer_anchors():
+    a = np.arange(80)
+    b = np.concatenate([[300], a[:4], [301], a[4:76], a[77:]])  # an extra word before the first anchor, a missing one after the last
+    assert substring_dedup.align(a, b, [[10, 60, 2]]) == (0, 80, 1, 81, 79, 81)
+
+
+def test_two_passages_in_one_pair(spark):
+    header, footer = prose(50, 60, 10**6), prose(51, 60, 10**6)
+    texts = [f"{header} {prose(52, 100, 10**6)} {footer}", f"{header} {prose(53, 100, 10**6)} {footer}", f"{header} {prose(54, 70, 10**6)} {footer}"]
+    rows = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    found = {(r.doc_id, r.other_id, r.start_word, r.end_word, r.other_start, r.other_end) for r in rows}
+    assert {(1, 0, 0, 60, 0, 60), (1, 0, 160, 220, 160, 220), (2, 0, 0, 60, 0, 60), (2, 0, 130, 190, 160, 220)} <= found
+
+
+def test_unlike_stretch_is_cut():
+    """Two passages of 0.85 with 25 other words between gain as one stretch, but are alike enough only one by one."""
+    a = np.arange(225)
+    b = a.copy()
+    b[[i for i in range(225) if i % 7 == 3 or 100 <= i < 125]] += 1000
+    found = substring_dedup.passages(a, b, [[4, 215, 0]])
+    assert len(found) == 2 and all(e >= 0.8 * n for *_, e, n in found)
+
+
 def test_passages(spark):
     shared, other = prose(20, 70, 10**6), prose(21, 65, 10**6)
     changed = shared.split()
