@@ -431,6 +431,19 @@ def test_unlike_stretch_is_cut():
     assert len(found) == 2 and all(e >= 0.8 * n for *_, e, n in found)
 
 
+@pytest.mark.parametrize("more", [0, 2])
+def test_parts_of_a_passage_elsewhere(spark, more):
+    """Smaller (and, with ``more``, also neighbouring) documents hold either half of a passage that two others share whole."""
+    parts = [prose(60, 30, 10**6), prose(61, 30, 10**6)]
+    whole = " ".join(parts)
+    texts = [f"{prose(62 + k, 40, 10**6)} {t} {prose(72 + k, 40, 10**6)}" for k, t in enumerate([*parts, whole, *parts[:more], whole])]
+    rows = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    found = {(r.doc_id, r.other_id, r.start_word, r.end_word, r.other_start, r.other_end) for r in rows}
+    words = [t.split() for t in texts]
+    brute = {(j, i) for i, j in combinations(range(len(texts)), 2) if {tuple(words[i][k : k + 50]) for k in range(len(words[i]) - 49)} & {tuple(words[j][k : k + 50]) for k in range(len(words[j]) - 49)}}
+    assert brute == {(len(texts) - 1, 2)} == {f[:2] for f in found} and found == {(len(texts) - 1, 2, 40, 100, 40, 100)}
+
+
 def test_passages(spark):
     shared, other = prose(20, 70, 10**6), prose(21, 65, 10**6)
     changed = shared.split()
