@@ -444,6 +444,29 @@ def test_parts_of_a_passage_elsewhere(spark, more):
     assert brute == {(len(texts) - 1, 2)} == {f[:2] for f in found} and found == {(len(texts) - 1, 2, 40, 100, 40, 100)}
 
 
+@pytest.mark.parametrize("n", [60, 100, 150])
+@pytest.mark.parametrize(("every", "least"), [(20, 1.0), (10, 1.0), (8, 1.0), (6, 0.9)])
+def test_recall_of_fuzzy_passages(n, every, least):
+    """Passages with one word in ``every`` changed, in texts of other words: found from seeds, where they are found along their known
+    diagonal. One in five leaves no five equal words and is not in the list."""
+    rng, found, there = np.random.default_rng(n + every), 0, 0
+    for _ in range(150):
+        p = rng.integers(0, 2**63, n, dtype=np.uint64)
+        q = p.copy()
+        q[(np.arange(n) + rng.integers(every)) % every == 0] += np.uint64(1)
+        a, b = (np.concatenate([rng.integers(0, 2**63, 40, dtype=np.uint64), t, rng.integers(0, 2**63, 40, dtype=np.uint64)]) for t in (p, q))
+        known = substring_dedup.passages(a, b, [[40, 35 + n, 0]])
+        if not known:
+            continue
+        there += 1
+        (h, x), (g, y) = substring_dedup.all_seeds(a), substring_dedup.all_seeds(b)
+        place = dict(zip(g.tolist(), y.tolist()))
+        anchors = np.array([(i, place[s], s & 3) for s, i in zip(h.tolist(), x.tolist()) if s in place]).reshape(-1, 3).astype(int)
+        chains = substring_dedup.chain(*substring_dedup.short_anchors(*anchors.T)) if len(anchors) else []
+        found += any(r == known[0] for _, c in chains for r in substring_dedup.passages(a, b, c))
+    assert there > 50 and found >= least * there
+
+
 def test_passages(spark):
     shared, other = prose(20, 70, 10**6), prose(21, 65, 10**6)
     changed = shared.split()
