@@ -79,6 +79,37 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "qid", qu
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Pairs that one Arrow batch of ``cosine_blocks`` may hold.
+BATCH_PAIRS = 200_000
+
+
+def cosine_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str, right_vec: str) -> DataFrame:
+    """left_id, right_id, cosine for every pair, as ``cosine_matrix`` gives them: the left rows go out in blocks as in ``top_k``, each task
+    multiplies its right rows with a block, and nothing is shuffled. Vectors are of one length; with a null one the cosine is 0."""
+    ship(right.sparkSession)
+    kinds = left.schema[left_id].dataType.simpleString(), right.schema[right_id].dataType.simpleString()
+    schema = f"left_id {kinds[0]}, right_id {kinds[1]}, cosine double"
+    zero = [0.0] * (left.agg(F.max(F.size(left_vec))).first()[0] or 0)
+    filled = left.select(F.col(left_id).alias("id"), F.coalesce(F.col(left_vec).cast("array<double>"), F.array(*map(F.lit, zero)).cast("array<double>")).alias("vec"))
+    out: DataFrame | None = None
+    for ids, matrix in query_blocks(filled, "id", "vec"):
+        shared = right.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lids, q = shared.value
+            step = max(1, BATCH_PAIRS // len(lids))
+            for b in batches:
+                for at in range(0, len(b), step):
+                    part = b.slice(at, step)
+                    scores = _matrix([x if x is not None else zero for x in part.column(1).to_pylist()]) @ q.T
+                    own = part.column(0).take(pa.array(np.repeat(np.arange(len(part)), len(lids))))
+                    yield pa.RecordBatch.from_arrays([pa.array(lids * len(part)), own, pa.array(scores.ravel())], names=["left_id", "right_id", "cosine"])
+
+        found = right.select(F.col(right_id).alias("id"), F.col(right_vec).alias("vec")).mapInArrow(run, schema)
+        out = found if out is None else out.union(found)
+    return right.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 def maxsim_scores(candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, qid: str = "qid", doc_id: str = "doc_id") -> DataFrame:
     """qid, doc_id, score by joins and aggregates only. ``query_vectors``: qid, pos, vec; ``doc_vectors``: doc_id, pos, vec.
     The pairs of a candidate's vectors are maximised by query position, then summed; both have partial sums."""

@@ -78,6 +78,13 @@ def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cosine_matrix(e, e, "vec_id", "vec_id", "embedding", "embedding").withColumn("cosine", F.round("cosine", 6))
 
 
+@query()
+def cosine_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all of them, diagonal included."""
+    e = table(spark, sf_dir, "embeddings")
+    return S.cosine_blocks(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", "embedding").withColumn("cosine", F.round("cosine", 6))
+
+
 @query(f"SELECT vec_id, list_transform(e, lambda x: round(x / sqrt(list_sum(list_transform(e, lambda y: y * y))), 6)) AS unit FROM {_E}")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.transform(v.unit("embedding"), lambda x: F.round(x, 6))
