@@ -319,6 +319,18 @@ def test_toxicity(spark):
     assert 0 <= nothing.score(b"any text") <= 1
 
 
+def test_wrapped_licenses():
+    index = licenses.Index({})
+    mit = b"Copyright (c) 2020 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction\n"
+    bsd = b"Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:\r\n"
+    assert licenses.scan(mit, index)[3] == {"mit"} and licenses.scan(mit, index)[4] == 1.0
+    assert licenses.scan(bsd, index)[3] == {"bsd"} and licenses.scan(bsd, index)[4] == 1.0
+    apart = bsd.replace(b"without\r\n", b"without\r\n\r\n")
+    assert not licenses.scan(apart, index)[3]  # an empty line ends a paragraph
+    far = b" ".join(w + b" x y z" + (b"\n" if i % 5 == 0 else b"") for i, w in enumerate(bsd.split()))
+    assert not licenses.scan(far, index)[3]  # the same words, but not within a window
+
+
 # --- op5
 
 def slow_chain(x, y):

@@ -1,12 +1,13 @@
 """License scans: known phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text; a template T is contained in a block B if |T and B| >= threshold * |T| as sets of words. Words
+A block is a line of the text, or a window of about a template's length in a paragraph (lines up to an empty one), so that wrapped licenses
+are found; a template T is contained in a block B if |T and B| >= threshold * |T| as sets of words. Words
 are put in one global order, rarest in the corpus first (document frequencies over all documents, of
 the templates' words only). If B holds enough of T, it misses at most ``floor((1 - threshold) * |T|)`` of T's words, so one of
 the first that many plus one in the order is in B: these prefixes make the inverted index (prefix filter). A block
 with fewer distinct words than T needs can't match (length filter); and a candidate found at position p of
 T's order can hold at most |T| - p words of T, counted off while the words are checked in order (positional
-filter). What passes is verified in full, so the join is exact.
+filter). Windows slide only where the paragraph holds enough of T. What passes is verified in full, so the join is exact.
 
 The templates are part of the program, so what is broadcast (templates and the frequencies of their words) has a fixed size.
 """
@@ -67,6 +68,8 @@ class Index:
             return frequencies.get(w, 0), w
 
         self.templates: list[Template] = []
+        self.sets: list[frozenset[bytes]] = []
+        self.spans: list[int] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for label, texts in templates.items():
             for t in texts:
@@ -74,6 +77,8 @@ class Index:
                 need = len(words) - int((1 - threshold) * len(words) + 1e-9)
                 k = len(self.templates)
                 self.templates.append((label, words, need))
+                self.sets.append(frozenset(words))
+                self.spans.append(-(-len(words_of(t.encode())) * 5 // 4))
                 for p, w in enumerate(words[: len(words) - need + 1]):
                     self.prefix.setdefault(w, []).append((k, p))
         self.rare = frozenset(self.prefix)
@@ -98,7 +103,30 @@ class Index:
                 yield label, common / len(words)
 
 
+    def match_wrapped(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """Labels and best containments of the templates that a window of a paragraph's words holds, a quarter longer than the template."""
+        for k in {k for w in self.rare.intersection(words) for k, _ in self.prefix[w]}:
+            label, own, need = self.templates[k]
+            there = [(i, w) for i, w in enumerate(words) if w in self.sets[k]]
+            if len({w for _, w in there}) < need:
+                continue
+            held: Counter[bytes] = Counter()
+            start, best = 0, 0
+            for i, w in there:
+                held[w] += 1
+                while there[start][0] <= i - self.spans[k]:
+                    gone = there[start][1]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                    start += 1
+                best = max(best, len(held))
+            if best >= need:
+                yield label, best / len(own)
+
+
 _PHRASE = {p.encode(): label for p, label in PHRASES.items()}
+_EMPTY_LINE = re.compile(rb"\r?\n[\x20\t]*\r?\n|\r[\x20\t]*\r")
 _PHRASE_AT = {p: re.compile(b"(?= " + p + b" )") for p in _PHRASE}
 
 
@@ -124,13 +152,18 @@ def scan(text: bytes, index: Index) -> tuple[int, list[int], set[str], set[str],
             for label, part in index.match(set(words_of(line))):
                 labels.add(label)
                 best = max(best, part)
+        for paragraph in _EMPTY_LINE.split(text):
+            if len(paragraph.splitlines()) > 1:
+                for label, part in index.match_wrapped(words_of(paragraph)):
+                    labels.add(label)
+                    best = max(best, part)
     return len(words), starts, base, labels, best
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of ``docs``.
 
-    ``score``: the best containment of a template in one of its lines, 1 where a phrase stands, else 0. Null
+    ``score``: the best containment of a template in one of its lines or windows, 1 where a phrase stands, else 0. Null
     text: no words, null positions, empty labels. Repeated rows are rows of the result; extra columns are not read."""
     index = Index(word_frequencies(docs, template_words(templates), text_col), templates, threshold)
 
