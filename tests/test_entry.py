@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import subprocess
 import sys
+import tempfile
 from pathlib import Path
 
 import duckdb
@@ -72,3 +73,21 @@ def test_cosine_matrix_of_all(spark):
     assert set(rows) == {(a, b) for a in ids if a % 20 == 0 for b in ids}
     for r in catalog.QUERIES["cosine_matrix"](spark, str(DATA)).collect():
         assert abs(rows[r.left_id, r.right_id] - r.cosine) <= 2e-6
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_whole_documents_are_requests(spark):
+    """Requests hold whole texts, and each document with words is answered with a vector."""
+    from pyspark.sql import functions as F
+
+    from vectorloom.plans import catalog
+
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    sent = catalog._bodies(spark, str(DATA)).where("request_id % 8 = 0").select("request_id", F.get_json_object("body", "$.input").alias("sent"))
+    assert sent.join(d, F.col("request_id") == F.col("doc_id")).where("NOT sent <=> text").count() == 0
+    few = d.orderBy("doc_id").limit(16)
+    few.write.parquet(at := tempfile.mkdtemp() + "/documents.parquet")
+    there = {r.doc_id for r in few.where("length(text) > 0").collect()}
+    served = catalog.QUERIES["serve_embeddings"](spark, os.path.dirname(at)).collect()
+    assert {r.request_id for r in served if r.status == 200} == there and len(there) > 8
+    assert {r.doc_id for r in catalog.QUERIES["embed_documents"](spark, os.path.dirname(at)).where("embedding IS NOT NULL").collect()} >= there

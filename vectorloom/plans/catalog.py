@@ -219,7 +219,7 @@ def quantization_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of all sorts made of documents: right ones, and ones that break each rule in turn."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.substring("text", 1, 40).alias("t"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.col("text").alias("t"))
     k = F.col("request_id") % 8
     fields = F.when(k == 0, F.to_json(F.struct(F.lit("embed").alias("model"), F.col("t").alias("input")))).when(k == 1, F.to_json(F.struct(F.lit("embed").alias("model"), F.array("t", F.lit("")).alias("input"))))
     fields = fields.when(k == 2, F.to_json(F.struct(F.lit("nobody").alias("model"), F.array("t").alias("input")))).when(k == 3, F.to_json(F.struct(F.lit("embed").alias("model"), F.array("t").alias("input"), F.lit(4).alias("dimensions"))))
@@ -237,7 +237,9 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def serve_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serve.embeddings(_bodies(spark, sf_dir), models())
+    """Every document's whole text as a request; texts beyond the model's cap are cut to it, not refused."""
+    d = table(spark, sf_dir, "documents")
+    return serve.embeddings(d.select(F.col("doc_id").alias("request_id"), F.to_json(F.struct(F.lit("embed").alias("model"), F.col("text").alias("input"))).alias("body")), models(), auto_truncate=True)
 
 
 @query()
@@ -266,6 +268,12 @@ def embed_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.embed(table(spark, sf_dir, "benchmark"), ["item_id"], "text", models().models["embed"], tasks=tasks(spark))
 
 
+@query()
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled vectors of whole documents, cut to the model's cap."""
+    return E.embed(table(spark, sf_dir, "documents"), ["doc_id"], "text", models().models["embed"], tasks=tasks(spark))
+
+
 @query()
 def embed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations in the context of the whole."""
