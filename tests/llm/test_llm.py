@@ -203,6 +203,27 @@ def test_base_pii(text):
     assert set(pii.detect(text)) == want
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("host one nine two dot one six eight dot zero dot one up", "ip"),
+    ("host one nine two.one six eight.zero.one up", "ip"),
+    ("host one.one.one.one up", "ip"),
+    ("host 192 dot one six eight dot 0 (dot) one up", "ip"),
+    ("host 10.0.0.one up", "ip"),
+    ("call +1 555 one two three 4567 now", "phone"),
+    ("call +1 555 one 23 4567 now", "phone"),
+    ("card four one one one one one one one one one one one one one one one now", "card"),
+])
+def test_short_spelled_runs(text, kind):
+    base = pii.detect(text)
+    (s, e, found), = pii.disguised(text, base)
+    assert found == kind and (text[:s], text[e:]) == (text[: text.index(" ") + 1], text[text.rindex(" ") :]) and not base
+
+
+@pytest.mark.parametrize("text", ["no one. two of us, three. four", "chapter one dot two", "one 2 three", "zone.one"])
+def test_spelled_words_of_prose(text):
+    assert pii.detect(text) == [] and pii.disguised(text, []) == []
+
+
 def test_disguised_pii(spark):
     texts = ["write to jo (at) mail [dot] example [dot] com now", "jo at mail dot com", "call plus four four two zero seven nine four six zero nine five eight", "ip １０.0.0.１", "a​b@c.de", "meet at noon, polka dot dress", "jо@ехample.com"]
     spans = [pii.joined((b := pii.detect(t)) + pii.disguised(t, b)) for t in texts]

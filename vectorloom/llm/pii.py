@@ -1,7 +1,7 @@
 """Personal data with offset-preserving deobfuscation.
 
 Identifiers are first found as they stand. Then, where a text has disguises, a transducer rewrites it: homoglyphs
-and full-width forms become ASCII, invisible characters vanish, runs of spelled digits become digits, and
+and full-width forms become ASCII, invisible characters vanish, runs of spelled digits become digits (short ones beside a digit or a dot; dots between groups of three or fewer stay), and
 ``[at]``/``(dot)``/`` at `` ... `` dot `` become ``@`` and ``.``. It carries for every character it
 writes the range of source characters it stands for. The same detectors run over the rewritten text, and what they find with
 the help of at least one rewritten character is mapped back to source characters and added; spans found directly stay.
@@ -35,7 +35,7 @@ LOOKALIKES = {
 }
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: As many spelled digits at least are read as a number.
+#: As many spelled digits at least are read as a number anywhere; fewer beside a digit, a dot or a spelled dot.
 SPELLED_RUN = 4
 
 _TO_ASCII = {ch: a for a, many in LOOKALIKES.items() for ch in many}
@@ -45,15 +45,19 @@ _WORDS = "|".join(DIGIT_WORDS)
 _RULES = re.compile(
     "|".join((
         rf"(?P<number>(?<![A-Za-z])(?:plus[\x20-]{{1,3}})?(?:{_WORDS})(?:[\x20,.-]{{1,3}}(?:{_WORDS})){{{SPELLED_RUN - 1},}}(?![A-Za-z]))",
+        rf"(?P<short>(?<![A-Za-z])(?:plus[\x20-]{{1,3}})?(?:{_WORDS})(?:[\x20,-]{{1,3}}(?:{_WORDS})){{0,{SPELLED_RUN - 2}}}(?![A-Za-z]))",
         r"(?P<at>\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}|(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}\s{1,3}dot\s))",
         r"(?P<dot>\s{0,2}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,2}|(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9]))",
         rf"(?P<char>[{re.escape(''.join(_TO_ASCII))}])",
     )),
     re.IGNORECASE,
 )
+#: What makes a short run a number: before it and after it.
+_BEFORE = re.compile(r"(?:[0-9][\x20,.()-]{0,3}|\.|(?<![A-Za-z])dot\s{1,3}|[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,2})\Z", re.IGNORECASE)
+_AFTER = re.compile(r"[\x20,.()-]{0,3}[0-9]|\.|\s{1,3}dot\s|\s{0,2}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]", re.IGNORECASE)
 _DIGIT_WORD = re.compile(_WORDS, re.IGNORECASE)
 #: Cheap and necessary for any rule to apply.
-_HINT = re.compile(rf"[{re.escape(''.join(_TO_ASCII))}]|[\[({{<]\s{{0,2}}(?:at|@|dot|\.)\s{{0,2}}[\])}}>]|\sdot\s|(?:{_WORDS})[\x20,.-]{{1,3}}(?:{_WORDS})[\x20,.-]", re.IGNORECASE)
+_HINT = re.compile(rf"[{re.escape(''.join(_TO_ASCII))}]|[\[({{<]\s{{0,2}}(?:at|@|dot|\.)\s{{0,2}}[\])}}>]|\sdot\s|(?:{_WORDS})[\x20,.-]{{1,3}}(?:(?:{_WORDS})[\x20,.-]|[0-9])|(?:[0-9][\x20,.()-]{{0,3}}|\.)(?:{_WORDS})(?![A-Za-z])|(?:{_WORDS})\.[0-9A-Za-z]", re.IGNORECASE)
 
 Span = tuple[int, int, str]
 
@@ -114,11 +118,19 @@ def transduce(text: str) -> tuple[str, list[int], list[int], list[bool]]:
     for m in _RULES.finditer(text):
         copy(done, m.start())
         done = m.end()
-        if m.lastgroup == "number":
+        if m.lastgroup == "short" and not (_AFTER.match(text, m.end()) or _BEFORE.search(text, max(0, m.start() - 16), m.start())):
+            copy(m.start(), m.end())
+        elif m.lastgroup in ("number", "short"):
             if m[0][:4].lower() == "plus":
                 put("+", m.start(), m.start() + 4)
-            for w in _DIGIT_WORD.finditer(m[0]):
-                put(DIGIT_WORDS[w[0].lower()], m.start() + w.start(), m.start() + w.end())
+            words = list(_DIGIT_WORD.finditer(m[0]))
+            dots = [m[0].find(".", w.end(), v.start()) for w, v in zip(words, words[1:])] + [-1]
+            groups = "".join("01"[d >= 0] for d in dots[:-1]).split("1")
+            octets = 1 < len(groups) <= 4 and all(len(g) < 3 for g in groups)  # of three digits at most
+            for w, d in zip(words, dots, strict=True):
+                put(DIGIT_WORDS[w[0].casefold()], m.start() + w.start(), m.start() + w.end())
+                if octets and d >= 0:
+                    put(".", m.start() + d, m.start() + d + 1)
         elif m.lastgroup == "char":
             put(_TO_ASCII.get(m[0], m[0]), m.start(), m.end())
         else:
