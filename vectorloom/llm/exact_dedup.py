@@ -1,8 +1,8 @@
-"""Exact deduplication by a tree-merge of sorted digest runs, in DataFrame operations only.
+"""Exact deduplication by hierarchical hash aggregation of digests, in DataFrame operations only.
 
-Documents are dealt into ``runs`` by a hash of their id. Within a run, rows are sorted by digest
-and equal ones merged (sort aggregate); then, in binomial rounds, ``fan_in`` neighbouring runs at a time
-exchange and multiway-merge their digest runs until one is left, at every level keeping the surviving
+Documents are dealt into ``runs`` by a hash of their id: a run is a salt of the digest. Equal rows of a run are merged
+by a hash aggregate; then, in binomial rounds, ``fan_in`` neighbouring runs at a time are merged by a further one until one is
+left. This stands in for sorted digest runs and their multiway merge: nothing is sorted. At every level stay the surviving
 identifier of each digest together with what verifies it: the text's length in bytes and a second,
 independent hash are part of the merge key, so two texts meet only if all three agree.
 
