@@ -352,171 +352,6 @@ def test_wrapped_licenses():
     assert not licenses.scan(far, index)[3]  # the same words, but not within a window
 
 
-# --- op5
-
-def slow_chain(x, y):
-    best = [0.0] * len(x)
-    order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
-    for n, j in enumerate(order):
-        best[j] = float(substring_dedup.K)
-        for i in order[:n]:
-            dx, dy = x[j] - x[i], y[j] - y[i]
-            if dx > 0 and dy > 0:
-                step = min(substring_dedup.K, dx, dy)
-                best[j] = max(best[j], best[i] - substring_dedup.GAP * (dx + dy) + step + 2 * substring_dedup.GAP * step)
-    return max(best)
-
-
-@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25, unique=True))
-@settings(max_examples=100, deadline=None)
-def test_chain_runs(anchors):
-    x, y = np.array(anchors).T
-    for _, chained in substring_dedup.chain(x, y, least=1):
-        assert all((a, a + d) in anchors and (b, b + d) in anchors and a <= b for a, b, d in chained)
-        assert all(p[1] < q[0] and p[1] + p[2] < q[0] + q[2] for p, q in zip(chained, chained[1:]))
-
-
-def test_chain_score():
-    x, y = np.array([0, 10, 20, 30, 200]), np.array([5, 15, 25, 36, 3])
-    score, chained = max(substring_dedup.chain(x, y))
-    assert score == pytest.approx(slow_chain(x.tolist(), y.tolist())) and chained == [[0, 20, 5], [30, 30, 6]]
-
-
-def slow_align(a, b, miss=substring_dedup.MISS):
-    """Smith-Waterman over all cells: the best score."""
-    best, old = 0.0, [0.0] * (len(b) + 1)
-    for w in a:
-        row = [0.0]
-        for j, u in enumerate(b):
-            row.append(max(0.0, old[j] + (1.0 if w == u else -miss), old[j + 1] - miss, row[j] - miss))
-        best, old = max(best, *row), row
-    return best
-
-
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 79)), max_size=6))
-@settings(max_examples=80, deadline=None)
-def test_alignment(edits):
-    """Texts that differ by changed, missing and extra words. Words that no anchor reaches, between edits closer than five words or
-    beyond one near an end, may stay out: the best alignment over all cells can be better by those."""
-    a = list(range(80))
-    b = [300, 301, 302, *a]
-    for kind, at in edits:
-        at += 3
-        if kind == 1:
-            b[min(at, len(b) - 1)] = 900 + at
-        elif kind == 2 and at < len(b) - 1:
-            del b[at]
-        elif kind == 3:
-            b.insert(at, 700 + at)
-    at = {w: i for i, w in enumerate(b)}
-    anchors = [(i, at[i]) for i in range(0, 76) if all(at.get(i + k) == at.get(i, -9) + k for k in range(5))]
-    score, chained = max(substring_dedup.chain(*np.array(anchors).T))
-    a0, a1, b0, b1, equal, n = substring_dedup.align(np.array(a), np.array(b), chained)
-    assert equal - substring_dedup.MISS * (n - equal) >= 0.75 * slow_align(a, b)
-    assert equal <= min(a1 - a0, b1 - b0) <= max(a1 - a0, b1 - b0) <= n
-
-
-def edited(edits):
-    """A text of 80 different words, one that differs from it by ``edits``, and the best chain of their five-word anchors."""
-    a = list(range(80))
-    b = [300, 301, 302, *a]
-    for kind, at in edits:
-        at += 3
-        if kind == 1:
-            b[min(at, len(b) - 1)] = 900 + at
-        elif kind == 2 and at < len(b) - 1:
-            del b[at]
-        elif kind == 3:
-            b.insert(at, 700 + at)
-    at = {w: i for i, w in enumerate(b)}
-    anchors = [(i, at[i]) for i in range(0, 76) if all(at.get(i + k) == at.get(i, -9) + k for k in range(5))]
-    return np.array(a), np.array(b), max(substring_dedup.chain(*np.array(anchors).T))[1]
-
-
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 79)), max_size=6))
-@settings(max_examples=200, deadline=None)
-def test_alignment_with_ends(edits):
-    a, b, chained = edited(edits)
-    *_, equal, n = substring_dedup.align(a, b, chained)
-    assert equal - substring_dedup.MISS * (n - equal) >= 0.9 * slow_align(a, b)
-
-
-def test_indels_beyond_the_outer_anchors():
-    a = np.arange(80)
-    b = np.concatenate([[300], a[:4], [301], a[4:76], a[77:]])  # an extra word before the first anchor, a missing one after the last
-    assert substring_dedup.align(a, b, [[10, 60, 2]]) == (0, 80, 1, 81, 79, 81)
-
-
-def test_two_passages_in_one_pair(spark):
-    header, footer = prose(50, 60, 10**6), prose(51, 60, 10**6)
-    texts = [f"{header} {prose(52, 100, 10**6)} {footer}", f"{header} {prose(53, 100, 10**6)} {footer}", f"{header} {prose(54, 70, 10**6)} {footer}"]
-    rows = substring_dedup.repeated_passages(docs(spark, texts)).collect()
-    found = {(r.doc_id, r.other_id, r.start_word, r.end_word, r.other_start, r.other_end) for r in rows}
-    assert {(1, 0, 0, 60, 0, 60), (1, 0, 160, 220, 160, 220), (2, 0, 0, 60, 0, 60), (2, 0, 130, 190, 160, 220)} <= found
-
-
-def test_unlike_stretch_is_cut():
-    """Two passages of 0.85 with 25 other words between gain as one stretch, but are alike enough only one by one."""
-    a = np.arange(225)
-    b = a.copy()
-    b[[i for i in range(225) if i % 7 == 3 or 100 <= i < 125]] += 1000
-    found = substring_dedup.passages(a, b, [[4, 215, 0]])
-    assert len(found) == 2 and all(e >= 0.8 * n for *_, e, n in found)
-
-
-@pytest.mark.parametrize("more", [0, 2])
-def test_parts_of_a_passage_elsewhere(spark, more):
-    """Smaller (and, with ``more``, also neighbouring) documents hold either half of a passage that two others share whole."""
-    parts = [prose(60, 30, 10**6), prose(61, 30, 10**6)]
-    whole = " ".join(parts)
-    texts = [f"{prose(62 + k, 40, 10**6)} {t} {prose(72 + k, 40, 10**6)}" for k, t in enumerate([*parts, whole, *parts[:more], whole])]
-    rows = substring_dedup.repeated_passages(docs(spark, texts)).collect()
-    found = {(r.doc_id, r.other_id, r.start_word, r.end_word, r.other_start, r.other_end) for r in rows}
-    words = [t.split() for t in texts]
-    brute = {(j, i) for i, j in combinations(range(len(texts)), 2) if {tuple(words[i][k : k + 50]) for k in range(len(words[i]) - 49)} & {tuple(words[j][k : k + 50]) for k in range(len(words[j]) - 49)}}
-    assert brute == {(len(texts) - 1, 2)} == {f[:2] for f in found} and found == {(len(texts) - 1, 2, 40, 100, 40, 100)}
-
-
-@pytest.mark.parametrize("n", [60, 100, 150])
-@pytest.mark.parametrize(("every", "least"), [(20, 1.0), (10, 1.0), (8, 1.0), (6, 0.9)])
-def test_recall_of_fuzzy_passages(n, every, least):
-    """Passages with one word in ``every`` changed, in texts of other words: found from seeds, where they are found along their known
-    diagonal. One in five leaves no five equal words and is not in the list."""
-    rng, found, there = np.random.default_rng(n + every), 0, 0
-    for _ in range(150):
-        p = rng.integers(0, 2**63, n, dtype=np.uint64)
-        q = p.copy()
-        q[(np.arange(n) + rng.integers(every)) % every == 0] += np.uint64(1)
-        a, b = (np.concatenate([rng.integers(0, 2**63, 40, dtype=np.uint64), t, rng.integers(0, 2**63, 40, dtype=np.uint64)]) for t in (p, q))
-        known = substring_dedup.passages(a, b, [[40, 35 + n, 0]])
-        if not known:
-            continue
-        there += 1
-        (h, x), (g, y) = substring_dedup.all_seeds(a), substring_dedup.all_seeds(b)
-        place = dict(zip(g.tolist(), y.tolist()))
-        anchors = np.array([(i, place[s], s & 3) for s, i in zip(h.tolist(), x.tolist()) if s in place]).reshape(-1, 3).astype(int)
-        chains = substring_dedup.chain(*substring_dedup.short_anchors(*anchors.T)) if len(anchors) else []
-        found += any(r == known[0] for _, c in chains for r in substring_dedup.passages(a, b, c))
-    assert there > 50 and found >= least * there
-
-
-def test_passages(spark):
-    shared, other = prose(20, 70, 10**6), prose(21, 65, 10**6)
-    changed = shared.split()
-    for k in (9, 25, 44, 60):
-        changed[k] = "changed"
-    missing = [w for k, w in enumerate(shared.split()) if k not in (20, 50)]
-    texts = [None, "", "short text", prose(30, 200, 10**6) + " " + shared + " " + prose(31, 90, 10**6), prose(32, 50, 10**6) + " " + shared.upper(), " ".join(changed) + " " + prose(33, 100, 10**6), prose(34, 80, 10**6) + " " + " ".join(missing), other + " " + prose(35, 40, 10**6), prose(36, 30, 10**6) + ", " + other, prose(37, 300, 10**6), prose(37, 300, 10**6), "same words " * 400, "same words " * 300]
-    df = docs(spark, texts)
-    rows = substring_dedup.repeated_passages(df).collect()
-    pairs = {(r.doc_id, r.other_id) for r in rows}
-    assert {(4, 3), (5, 3), (6, 3), (8, 7), (10, 9), (12, 11)} <= pairs and not {i for p in pairs for i in p} & {0, 1, 2}
-    r = next(r for r in rows if r.doc_id == 4)
-    assert (r.start_word, r.end_word, r.other_start, r.other_end, r.similarity) == (50, 120, 200, 270, 1.0)
-    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 for r in rows)
-    assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
-
-
 def test_repeated_rows_and_null_ids(spark):
     """Every row is a row of the result, also where it repeats another or has no id."""
     texts = [prose(40, 80), prose(40, 80), None, "all rights reserved", prose(41, 60) + " " + prose(40, 80)]
