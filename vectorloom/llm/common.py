@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -119,6 +120,11 @@ class Spool:
         out._spooled_at = at
         return out
 
+    def release(self) -> None:
+        """Let the driver notice which plans are over, so that Spark removes their shuffle files now and not at some later collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table of this spool that nothing reads any more."""
         if at := getattr(df, "_spooled_at", None):
