@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -122,8 +123,11 @@ class Spool:
 
     def release(self) -> None:
         """Let the driver notice which plans are over, so that Spark removes their shuffle files now and not at some later collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round frees may have held shuffles
+            time.sleep(0.3)  # until the listeners have let go of the last plan
+            gc.collect()
+            self.spark._jvm.System.gc()
+        time.sleep(0.3)
 
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table of this spool that nothing reads any more."""
