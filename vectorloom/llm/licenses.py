@@ -1,13 +1,16 @@
 """License scans: known phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text, or a window of about a template's length in a paragraph (lines up to an empty one), so that wrapped licenses
-are found; a template T is contained in a block B if |T and B| >= threshold * |T| as sets of words. Words
-are put in one global order, rarest in the corpus first (document frequencies over all documents, of
-the templates' words only). If B holds enough of T, it misses at most ``floor((1 - threshold) * |T|)`` of T's words, so one of
-the first that many plus one in the order is in B: these prefixes make the inverted index (prefix filter). A block
-with fewer distinct words than T needs can't match (length filter); and a candidate found at position p of
-T's order can hold at most |T| - p words of T, counted off while the words are checked in order (positional
-filter). Windows slide only where the paragraph holds enough of T. What passes is verified in full, so the join is exact.
+A block is a window of a paragraph (lines up to an empty one, so that wrapped licenses are found), a quarter longer than the
+template; a template T is contained in it if |T and B| >= threshold * |T| as sets of words and B has all of T's telling words
+(``TELLING``: names by which licenses differ). Words are put in one global order, rarest in the corpus first (document
+frequencies over all documents, of the templates' words: only those are ever compared). If B holds enough of T, it misses at most
+``floor((1 - threshold) * |T|)`` of T's words, so one of the first that many plus one in the order is in B: these prefixes make the
+inverted index (prefix filter). A paragraph with fewer distinct words of templates than T needs can't match (length filter); and a
+candidate first met at position p of T's order can hold at most |T| - p of T's words (positional filter). What passes is
+verified by sliding the window over the paragraph, so the join is exact.
+
+Where templates nearly contain each other (``Licensed under CC BY`` and ``Licensed under CC BY-NC``) the one that holds more words of a
+place names it: of overlapping matches that are alike by the threshold the one with more words in common stays.
 
 The templates are part of the program, so what is broadcast (templates and the frequencies of their words) has a fixed size.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,19 +30,48 @@ from .common import map_arrow, per_text, quoted, raw_texts, sorted_csv, words_of
 THRESHOLD = 0.8
 #: Phrases (words that stand consecutively) and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates: well-known sentences of public licenses, by label.
+#: Sentences of public licenses, by label.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
-    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
+    "mit": (
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    "gpl": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Released under the GPL License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    ),
+    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
+    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
+    "bsd": (
+        "Released under the BSD License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "zlib": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",),
+    "unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "cc0": ("Licensed under CC0 1.0.", "This work is released into the public domain under Creative Commons CC0 1.0 Universal."),
+    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "reserved": ("All rights reserved.",),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "cc-by-nc-sa": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "cc-by-nc-nd": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 }
+#: Names by which licenses differ. A template's own ones must all be there.
+TELLING = frozenset(b"mit apache gnu gpl lesser affero bsd mozilla unencumbered cc cc0 by nc sa nd creative commons attribution noncommercial sharealike noderivatives".split())
 
 Template = tuple[str, tuple[bytes, ...], int]
+#: Words from and to (exclusive) of a paragraph, words in common, template.
+Match = tuple[int, int, int, int]
 
 
 def template_words(templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> set[bytes]:
@@ -63,12 +95,13 @@ def word_frequencies(docs: DataFrame, words: set[bytes], text_col: str = "text")
 class Index:
     """Prefix index of the templates under one global order of words."""
 
-    def __init__(self, frequencies: Mapping[bytes, int], templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> None:
+    def __init__(self, frequencies: Mapping[bytes, int], templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, telling: frozenset[bytes] = TELLING) -> None:
         def order(w: bytes) -> tuple[int, bytes]:
             return frequencies.get(w, 0), w
 
         self.templates: list[Template] = []
         self.sets: list[frozenset[bytes]] = []
+        self.telling: list[frozenset[bytes]] = []
         self.spans: list[int] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for label, texts in templates.items():
@@ -78,51 +111,58 @@ class Index:
                 k = len(self.templates)
                 self.templates.append((label, words, need))
                 self.sets.append(frozenset(words))
+                self.telling.append(self.sets[k] & telling)
                 self.spans.append(-(-len(words_of(t.encode())) * 5 // 4))
                 for p, w in enumerate(words[: len(words) - need + 1]):
                     self.prefix.setdefault(w, []).append((k, p))
         self.rare = frozenset(self.prefix)
+        self.every = frozenset().union(*self.sets)
+        #: For each template those of other labels that contain enough of it.
+        self.alike = [frozenset(j for j, t in enumerate(self.sets) if self.templates[j][0] != self.templates[k][0] and len(s & t) >= threshold * len(s)) for k, s in enumerate(self.sets)]
 
-    def match(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """Labels and containments of the templates that the block holds."""
+    def candidates(self, there: Sequence[tuple[int, bytes]]) -> list[int]:
+        """Templates that a paragraph with these words may hold."""
+        block = {w for _, w in there}
         first: dict[int, int] = {}
         for w in self.rare & block:
             for k, p in self.prefix[w]:
                 first[k] = min(p, first.get(k, p))
-        for k, p in first.items():
-            label, words, need = self.templates[k]
-            if len(block) < need or len(words) - p < need:
-                continue
-            common, left = 0, len(words) - p
-            for w in words[p:]:
-                left -= 1
-                common += w in block
-                if common + left < need:
-                    break
-            if common >= need:
-                yield label, common / len(words)
-
-
-    def match_wrapped(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
-        """Labels and best containments of the templates that a window of a paragraph's words holds, a quarter longer than the template."""
-        for k in {k for w in self.rare.intersection(words) for k, _ in self.prefix[w]}:
-            label, own, need = self.templates[k]
-            there = [(i, w) for i, w in enumerate(words) if w in self.sets[k]]
-            if len({w for _, w in there}) < need:
-                continue
-            held: Counter[bytes] = Counter()
-            start, best = 0, 0
-            for i, w in there:
-                held[w] += 1
-                while there[start][0] <= i - self.spans[k]:
-                    gone = there[start][1]
-                    held[gone] -= 1
-                    if not held[gone]:
-                        del held[gone]
+        return sorted(k for k, p in first.items() if self.templates[k][2] <= min(len(block), len(self.templates[k][1]) - p) and len(self.sets[k] & block) >= self.templates[k][2])
+
+    def places(self, k: int, there: Sequence[tuple[int, bytes]]) -> Iterator[Match]:
+        """Windows of a paragraph that hold template ``k``, one after another, each with as many of its words as follow within the window."""
+        own, need, telling, span = self.sets[k], self.templates[k][2], self.telling[k], self.spans[k]
+        at = [(i, w) for i, w in there if w in own]
+        held: Counter[bytes] = Counter()
+        start = end = 0
+        while end < len(at):
+            i, w = at[end]
+            held[w] += 1
+            end += 1
+            while at[start][0] <= i - span:
+                held[at[start][1]] -= 1
+                held += Counter()
+                start += 1
+            if len(held) >= need and all(x in held for x in telling):
+                while held[at[start][1]] > 1:  # the shortest such window
+                    held[at[start][1]] -= 1
                     start += 1
-                best = max(best, len(held))
-            if best >= need:
-                yield label, best / len(own)
+                last = end
+                for j in range(end, len(at)):
+                    if at[j][0] >= at[start][0] + span:
+                        break
+                    if at[j][1] not in held:
+                        held[at[j][1]] += 1
+                        last = j + 1
+                yield at[start][0], at[last - 1][0] + 1, len(held), k
+                held.clear()
+                start = end = last
+
+    def match(self, words: Sequence[bytes]) -> list[Match]:
+        """Places of templates in a paragraph's words; those that better ones of another label overlap by half are left out."""
+        there = [(i, w) for i, w in enumerate(words) if w in self.every]
+        found = [m for k in self.candidates(there) for m in self.places(k, there)]
+        return [m for m in found if not any(o[3] in self.alike[m[3]] and o[2] > m[2] and 2 * (min(o[1], m[1]) - max(o[0], m[0])) >= m[1] - m[0] for o in found)]
 
 
 _PHRASE = {p.encode(): label for p, label in PHRASES.items()}
@@ -148,23 +188,20 @@ def scan(text: bytes, index: Index) -> tuple[int, list[int], set[str], set[str],
     starts, base = phrases_in(words)
     labels, best = set(), 0.0
     if not index.rare.isdisjoint(words):
-        for line in text.splitlines():
-            for label, part in index.match(set(words_of(line))):
-                labels.add(label)
-                best = max(best, part)
         for paragraph in _EMPTY_LINE.split(text):
-            if len(paragraph.splitlines()) > 1:
-                for label, part in index.match_wrapped(words_of(paragraph)):
-                    labels.add(label)
-                    best = max(best, part)
+            for _, _, common, k in index.match(words_of(paragraph)):
+                label, own, _ = index.templates[k]
+                labels.add(label)
+                best = max(best, common / len(own))
     return len(words), starts, base, labels, best
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of ``docs``.
 
-    ``score``: the best containment of a template in one of its lines or windows, 1 where a phrase stands, else 0. Null
-    text: no words, null positions, empty labels. Repeated rows are rows of the result; extra columns are not read."""
+    ``score``: the best containment of a template in one of its windows, 1 where a phrase stands, else 0. Null
+    text: no words, null positions, empty labels. Ties: of places that hold equally many words of two templates both stay.
+    Repeated rows are rows of the result; empty table: empty result; extra columns are not read."""
     index = Index(word_frequencies(docs, template_words(templates), text_col), templates, threshold)
 
     def score(texts: list[bytes]) -> dict[str, list]:
