@@ -302,12 +302,71 @@ def test_pages(spark):
 
 
 def test_consensus_overrules_one_page():
+    assert html_extract.extract(PAGE.format("entry", "<p>ok</p>").replace("links here", "x " * 40).replace("class=sidebar", "class=box"), ">html>body>div.entry")[0] == "ok"
     short = PAGE.format("entry", "<p>tiny text of the article, not long</p>").replace("links here", "x " * 40).replace("class=sidebar", "class=box")
     assert html_extract.extract(short, ">html>body>div.entry")[0] == "tiny text of the article, not long"
 
 
+ARTICLE = "<html><body><div class=nav-bar>menu</div><article>{}</article></body></html>"
+
+
+@pytest.mark.parametrize(("inside", "text"), [
+    ("<p>" + "a < b " * 100 + "</p><p title=\"a > b\">after</p>", "a < b " * 99 + "a < b\nafter"),
+    ("<div>" * 400 + "<p>deep text</p><nav>menu</nav><div class=comments>a reader</div>" + "</div>" * 400 + "<p>after</p>", "deep text\nafter"),
+    ("<div class=article-header><h1>Title</h1></div><p>text</p>", "Title\ntext"),
+    ("<p class='legal notice'>read this</p><div class=related-work>others did</div><p>text</p>", "read this\nothers did\ntext"),
+    ("<p>text</p><div class=share-bar>share</div><div id=comments><p>reader</p></div><section class='related posts'>more</section>", "text"),
+    ("<p title='it''s'>one</p><p title=it's>two</p><p alt=\"x>three</p>", "one\ntwo\nthree"),
+    ("<p>one<!-- <p>not</p> -->, two<!DOCTYPE x> three</p>", "one, two three"),
+])
+def test_nothing_else_is_dropped(inside, text):
+    assert html_extract.extract(ARTICLE.format(inside))[0] == text
+
+
+def test_title_in_a_header():
+    page = "<html><body><header><h1>Site</h1></header><div class=entry><header><h1>Title</h1></header><p>" + "text " * 40 + "</p></div></body></html>"
+    assert html_extract.extract(page)[0].startswith("Title\ntext")
+    assert "Site" not in html_extract.extract(page)[0]
+
+
+def test_votes(spark):
+    """Votes counted in Spark are those of a plain count, ties go to the path that sorts first; columns with clashing names."""
+    one, other = "<div class=b-{}><p>" + "text " * 30 + "</p></div>", "<div class=a-{}><p>" + "words " * 30 + "</p></div>"
+    kinds = {"x.example": [one, one, other, other, one + other], "y.example": [one, other, other], "": [other]}
+    rows = [(100 * h + i, f"http://{host}/p{i}" if host else None, "<html><body>" + k.format(i, i) + "</body></html>", "h", "w", "p", 1, "t") for h, (host, pages) in enumerate(kinds.items()) for i, k in enumerate(pages)]
+    rows.append((900, "http://z.example/", "<html><body><div class=b-1><p>" + "long text " * 200_000 + "</p></div></body></html>", "", "", "", 0, ""))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, winner string, path string, votes int, vote_host string").repartition(4)
+    want = defaultdict(int)
+    for r in rows:
+        want[html_extract.host_of(r[1] or ""), html_extract.extract(r[2])[1]] += 1
+    assert {(r.host, r.path): r.votes for r in html_extract.votes(df).collect()} == dict(want)
+    winners = {}
+    for (host, path), n in sorted(want.items(), key=lambda x: (-x[1], x[0][1])):
+        winners.setdefault(host, path)
+    got = {r.page_id: r for r in html_extract.extract_pages(df).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        assert (got[r[0]].text, got[r[0]].path) == html_extract.extract(r[2], winners[html_extract.host_of(r[1] or "")])
+    assert got[900].n_chars == 10 * 200_000 - 1 and got[4].path == winners["x.example"]
+
+
+@given(st.text(alphabet="<>ab=\"'/ -!", max_size=40))
+@settings(max_examples=500, deadline=None)
+def test_tokens_cover_the_page(page):
+    """Every character is in one token; a tag ends at the first ``>`` outside closed quotes of its values."""
+    at = 0
+    for kind, tag, rest in html_extract.tokens(page):
+        if kind:
+            at = page.lower().index(kind + tag, at)
+            bare = re.sub("=\\s*(\"[^\"]*\"|'[^']*')", lambda m: "=" + "_" * (len(m[0]) - 1), page[at + len(kind + tag) :])
+            assert bare.index(">") == len(rest) and page[at + len(kind + tag) :].startswith(rest)
+            at += len(kind + tag + rest) + 1
+        else:
+            at = page.index(rest, at) + len(rest)
+
+
 def test_hostile_pages_are_linear():
-    for page in ("<" * 50_000, "<div>" * 20_000 + "x", '<a b="' * 20_000, "<b>" * 20_000 + "</i>" * 20_000):
+    for page in ("<a b='" * 20_000 + ">", "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<p>" * 20_000, "<p a='x\">" * 20_000,"<" * 50_000, "<div>" * 20_000 + "x", '<a b="' * 20_000, "<b>" * 20_000 + "</i>" * 20_000):
         html_extract.extract(page)
 
 
