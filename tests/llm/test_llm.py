@@ -136,6 +136,13 @@ def test_links(spark, pair_limit):
     assert [root(i) for i in range(len(fps))] == classes(fps)
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Three equal texts with ids 1, 1, 2, of which 2 is also the id of another text; null ids; each group keeps one row."""
+    a, b, c = prose(3, 60), prose(4, 60), prose(5, 60)
+    left = simhash.drop_near_duplicates(docs(spark, [a, a, a, b, c, c], [1, 1, 2, 2, None, None])).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in left) == sorted([(1, a), (2, b), (-1, c)])
+
+
 def test_near_duplicates(spark):
     long = prose(3, 400).split()
     near = [" ".join([*long[:k], "new", *long[k + 1 :]]) for k in range(0, 400, 40)]
@@ -167,7 +174,7 @@ def slow_hits(text, items, width=10):
     return len(w), hit, sorted(who)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
+@pytest.mark.parametrize("block", [1 << 20, 160])
 def test_decontamination(spark, block):
     rng = np.random.default_rng(6)
     items = [(1, "a b"), (2, " ".join(rng.choice(WORDS, 14))), (10, "É x, Y"), (3, None), (4, "..."), (5, "a a"), (6, "a b")]
@@ -186,6 +193,17 @@ def test_decontamination(spark, block):
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
 
 
+def test_many_blocks(spark):
+    """A benchmark of over a hundred blocks: the same rows as with one."""
+    rng = np.random.default_rng(16)
+    bench = spark.createDataFrame([(k, " ".join(rng.choice(WORDS, 12))) for k in range(75)], "item_id long, text string")
+    items = [tuple(r) for r in bench.collect()]
+    df = docs(spark, ["x " + items[k][1] + " y " + items[k + 1][1] for k in range(0, 20, 2)] + ["nothing", None])
+    assert decontaminate.window_table(bench, block_bytes=100)[1] > 100
+    few, many = (sorted(map(str, decontaminate.find_contamination(df, bench, block_bytes=b).collect())) for b in (1 << 20, 100))
+    assert few == many
+
+
 # --- op1
 
 BASE = {

@@ -18,7 +18,8 @@ from ..session import ship
 #: after it, ``bytes.split()`` gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-ROWS_PER_BATCH = 500
+#: Rows and bytes that an Arrow function gets at a time.
+ROWS_PER_BATCH, BATCH_BYTES = 500, 64 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -51,8 +52,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough that very long texts stay within a worker's memory."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_cut(function), schema)
+
+
+def _cut(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` over slices of at most ``ROWS_PER_BATCH`` rows and ``BATCH_BYTES``, whatever the session's batches are."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = max(1, min(ROWS_PER_BATCH, len(b) * BATCH_BYTES // max(b.nbytes, 1)))
+            for at in range(0, max(len(b), 1), rows):
+                yield b.slice(at, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(slices(batches))
+
+    return run
+
+
+def salted_join(rows: DataFrame, named: DataFrame, key: str, by: Column) -> DataFrame:
+    """``rows`` joined with ``named`` (one row for each ``key``), where one key may hold a large part of ``rows``: they are dealt by a hash
+    of ``by`` to as many salts as there are shuffle partitions; each (salt, key) there is gets its own row of ``named``."""
+    (salt,) = fresh(rows, "salt")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+    own = dealt.groupBy(salt, key).agg(F.lit(1).alias("one")).drop("one").join(named, key)
+    return dealt.join(own, [salt, key]).drop(salt)
 
 
 def per_text(df: DataFrame, id_col: str, text_col: str, score: Callable[[list[bytes]], dict[str, list]], schema: str, arrow: pa.Schema) -> DataFrame:
@@ -145,7 +170,8 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def components(spool: Spool, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components by alternating large-star and small-star rounds.
+    """Connected components by alternating large-star and small-star rounds; an error if ``max_rounds`` do not settle (components of
+    n nodes take some log n rounds).
 
     ``edges``: columns a, b (comparable, no nulls). Returns node, root (smallest node of its
     component) for every node with an edge to another one. A hub's edges are only ever aggregated

@@ -1,14 +1,16 @@
-"""Exact deduplication by hierarchical hash aggregation of digests, in DataFrame operations only.
+"""Exact deduplication by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Documents are dealt into ``runs`` by a hash of their id: a run is a salt of the digest. Equal rows of a run are merged
-by a hash aggregate; then, in binomial rounds, ``fan_in`` neighbouring runs at a time are merged by a further one until one is
-left. This stands in for sorted digest runs and their multiway merge: nothing is sorted. At every level stay the surviving
-identifier of each digest together with what verifies it: the text's length in bytes and a second,
+Documents are dealt into runs by a hash of their id, as many as there are partitions; each run is sorted by digest and equal
+digests of it are merged by a sort aggregate. Then come binomial rounds: ``fan_in`` neighbouring runs at a time exchange
+slices of their digests, so that in each round there are ``fan_in`` times fewer runs of as many times more slices, and every partition
+merges its slice of ``fan_in`` sorted runs into one sorted run; the last run has one slice a partition. At every level the
+surviving identifier of each digest stays together with what verifies it: the text's length in bytes and a second,
 independent hash are part of the merge key, so two texts meet only if all three agree.
 
 A text that a third of all rows share is split over all runs: no task ever gets more of it than
-one run holds, and each later round gets at most one row for it and run. The way down is the same
-tree: survivors reach runs (one row for each digest and run), and runs reach documents.
+one run holds, and each later round gets at most ``fan_in`` rows for it. The way down is the same
+tree: survivors reach runs (one row for each digest and run), and runs reach documents. Texts are read once: their digests are
+a written table.
 """
 
 from __future__ import annotations
@@ -41,13 +43,25 @@ def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _chosen(keep: str) -> Column:
+    """The surviving id of a group, as a struct: compared by a sort aggregate. Null ids come last."""
+    there = F.col("keep_id").isNotNull()
+    return F.max(F.struct(there.alias("t"), "keep_id")) if keep == "max" else F.min(F.struct((~there).alias("t"), "keep_id"))
+
+
+def merged(level: DataFrame, runs: int, slices: int, keep: str) -> DataFrame:
+    """One row for each run and digest of rows (run, KEY, keep_id, group_size): each partition sorts its slice of a run and merges equal digests."""
+    part = F.pmod(F.xxhash64("digest"), F.lit(slices)).cast("int")
+    sorted_runs = level.withColumn("slice", part).repartition(max(runs * slices, 1), "run", "slice").sortWithinPartitions("run", "slice", *KEY)
+    return sorted_runs.groupBy("run", "slice", *KEY).agg(_chosen(keep).alias("c"), F.sum("group_size").alias("group_size")).select("run", *KEY, F.col("c.keep_id").alias("keep_id"), "group_size")
+
+
 def tree_merge(leaves: DataFrame, runs: int, fan_in: int = FAN_IN, keep: str = "max") -> DataFrame:
     """From one row for each run and digest (keep_id, group_size) to one for each digest."""
-    choose = {"max": F.max, "min": F.min}[keep]
     level, left = leaves, runs
     while left > 1:
         left = -(-left // fan_in)
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", *KEY).agg(choose("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        level = merged(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), left, -(-runs // left), keep)
     return level.drop("run")
 
 
@@ -58,9 +72,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text. Repeated rows with one id: each is a row of the result, one of them is kept. A null id
     survives only where its whole group has null ids. Empty table: empty result. Extra columns are not read."""
     runs = runs or run_count(docs, fan_in)
-    rows = digests(docs, runs, id_col, text_col, normalise).repartition("run", *KEY)
-    choose = {"max": F.max, "min": F.min}[keep]
-    leaves = rows.groupBy("run", *KEY).agg(choose("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    rows = Spool(docs.sparkSession, "exact-dedup").table(digests(docs, runs, id_col, text_col, normalise))
+    leaves = merged(rows.withColumnRenamed("doc_id", "keep_id").withColumn("group_size", F.lit(1).cast("long")), runs, 1, keep)
     top = tree_merge(leaves, runs, fan_in, keep)
     settled = leaves.select("run", *KEY).join(top, list(KEY)).hint("shuffle_hash")
     one = Window.partitionBy("run", *KEY, "doc_id").orderBy("doc_id")
@@ -71,7 +84,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat id and text stay once."""
+    """The rows of ``docs`` that stay, with all their columns as they came. Null texts count as empty; of rows with one id and
+    text one stays, whichever, also where other columns differ; a null id stays only where its whole group has none. Empty table:
+    empty result."""
     spool = Spool(docs.sparkSession, "exact-dedup")
     kept = spool.table(exact_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col(quoted(id_col)).alias("id"), "text_sha256", "group_size"))
     digest, other, key = fresh(docs, "digest", "kept_digest", "kept_id")

@@ -11,15 +11,17 @@ points there, and all at a point are linked to the smallest: 33 rows a member, w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Spool, components, keep_ids, per_text, quoted
+from .common import Spool, components, fresh, keep_ids, map_arrow, per_text, quoted, raw_texts, salted_join
 
 SHINGLE = 3
 PAIR_LIMIT = 48
@@ -71,23 +73,55 @@ def links(prints: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable) of every row.
-
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows are rows of the
-    result; null ids are ignored in the choice of the smallest. Empty table: empty result."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """id_col, fp, root (smallest fingerprint of the component), component_id (its smallest id) of every row."""
     spool = Spool(docs.sparkSession, "simhash")
     prints = spool.table(fingerprints(docs, id_col, text_col))
     nodes = spool.table(prints.groupBy("fp").agg(F.min(quoted(id_col)).alias("least")))
     roots = components(spool, links(nodes.select("fp"), pair_limit)).select(F.col("node").alias("fp"), "root")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col(quoted(id_col)), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = salted_join(named, smallest, "root", F.col("fp")).select("fp", "root", "component_id")
+    return salted_join(prints, classes, "fp", F.col(quoted(id_col)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable) of every row.
+
+    Null and empty texts have fingerprint zero and link like any other. Repeated rows are rows of the
+    result; null ids are ignored in the choice of the smallest. Empty table: empty result. Extra columns are not read."""
+    return grouped(docs, id_col, text_col, pair_limit).select(F.col(quoted(id_col)), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group stays: the one whose id is the smallest. Columns as they came."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = Spool(docs.sparkSession, "simhash-kept").table(found.groupBy("component_id").agg(F.min(quoted(id_col)).alias("id")).select("id"))
-    return keep_ids(docs, kept, id_col)
+    """One document of each group stays: the one whose id is the smallest. Columns as they came.
+
+    Where ids repeat (or are null) one row of each group stays: of the rows with its smallest id those of the smallest fingerprint, and of
+    these one, whichever. A group of null ids only keeps one row too. Null and empty texts are a group. Empty table: empty result."""
+    spool = Spool(docs.sparkSession, "simhash-kept")
+    key = F.col(quoted(id_col))
+    first = spool.table(grouped(docs, id_col, text_col).where(key.eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("keep"), F.min(key).alias("id")).select("id", "keep"))
+    if not _repeated(docs, id_col):
+        return keep_ids(docs, first.select("id"), id_col)
+    fp, other, kept, row = fresh(docs, "fp", "kept_fp", "kept_id", "row")
+    one = Window.partitionBy(key, F.col(fp)).orderBy(F.lit(0))
+    ids = first.select(F.col("id").alias(kept), F.col("keep").alias(other))
+    left = with_prints(docs, text_col, fp).join(ids, key.eqNullSafe(F.col(kept)) & (F.col(fp) == F.col(other)), "left_semi")
+    return left.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*map(quoted, docs.columns))
+
+
+def _repeated(docs: DataFrame, id_col: str) -> bool:
+    """Whether any id stands in more than one row, or there is a null one (ids alone are read and shuffled)."""
+    key = F.col(quoted(id_col))
+    return not docs.groupBy(key.alias("k")).count().where("count > 1 OR k IS NULL").isEmpty()
+
+
+def with_prints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the fingerprint as a further column."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_signed(raw_texts(b.column(at)))["fp"], pa.int64())], names=[*b.schema.names, name])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))

@@ -16,6 +16,7 @@ model encodes whole texts.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, Spool, per_text, quoted, text_or_empty
+from .common import Shared, Spool, map_arrow, quoted, raw_texts, salted_join, text_or_empty
 
 #: As many ids of misses are sent to every task; more are joined.
 BROADCAST_IDS = 10_000
@@ -94,7 +95,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None
     """doc_id, n_bytes, n_tokens, over_limit of every row; the cache at ``cache_path`` grows by what it lacked.
 
     Without ``cache_path`` an empty cache of this call's own is used. Null text: empty text, 0 tokens. Repeated rows
-    are rows of the result; of rows with one id the digests decide, and all texts of an id with a miss are encoded.
+    are rows of the result; of rows with one id the digests decide which are encoded.
     Empty table: empty result. Extra columns are not read."""
     spark = docs.sparkSession
     model = Path(model_path).read_bytes()
@@ -107,20 +108,21 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None
     digest = F.unhex(F.sha2(text, 256))
     rows = spool.table(docs.select(F.col(quoted(id_col)).alias("id"), digest.alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")))
     before = cached_counts(spark.read.schema(schema).parquet(cache_path), version)
-    first = rows.groupBy("digest").agg(F.min("id").alias("id"))
-    misses = spool.table(first.join(before, "digest", "left_anti").select("id").distinct())
+    first = rows.groupBy("digest").agg(F.min("id").alias("miss"))
+    misses = spool.table(first.join(before, "digest", "left_anti").select("miss", F.col("digest").alias("wanted")))
     n = misses.count()
     if n:
         shared = Shared(spark, model)
 
-        def score(texts: list[bytes]) -> dict[str, list]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.made(Counter)
-            return {"digest": [hashlib.sha256(t).digest() for t in texts], "n_tokens": [c.count(t.decode("utf-8", "replace")) for t in texts]}
+            for b in batches:
+                done = [(w, c.count(t.decode("utf-8", "replace"))) for w, t in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True) if hashlib.sha256(t).digest() == w]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in done], pa.binary()), pa.array([k for _, k in done], pa.int64())], names=["digest", "n_tokens"])
 
-        ids = misses.withColumnRenamed("id", "miss")
-        ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash")
-        wanted = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text")).join(ids, F.col("id").eqNullSafe(F.col("miss")), "left_semi")
-        new = per_text(wanted, "id", "text", score, "digest binary, n_tokens long", pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())]))
+        ids = F.broadcast(misses) if n <= BROADCAST_IDS else misses.hint("shuffle_hash")
+        wanted = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text")).join(ids, F.col("id").eqNullSafe(F.col("miss"))).select("wanted", "text")
+        new = map_arrow(wanted, run, "digest binary, n_tokens long")
         new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     counts = cached_counts(spark.read.schema(schema).parquet(cache_path), version)
-    return rows.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return salted_join(rows, counts, "digest", F.col("id")).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
