@@ -63,18 +63,6 @@ def test_imports_without_the_training_data_folder(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
-@pytest.mark.skipif(not DATA.exists(), reason="no tables")
-def test_cosine_matrix_of_all(spark):
-    """Every twentieth vector against every vector, in line with the crossJoin where both are twentieth ones."""
-    from vectorloom.plans import catalog
-
-    rows = {(r.left_id, r.right_id): r.cosine for r in catalog.QUERIES["cosine_matrix_all"](spark, str(DATA)).collect()}
-    ids = [r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()]
-    assert set(rows) == {(a, b) for a in ids if a % 20 == 0 for b in ids}
-    for r in catalog.QUERIES["cosine_matrix"](spark, str(DATA)).collect():
-        assert abs(rows[r.left_id, r.right_id] - r.cosine) <= 2e-6
-
-
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
 def test_whole_documents_are_requests(spark):
     """Requests hold whole texts, and each document with words is answered with a vector."""

@@ -56,16 +56,26 @@ def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<float>").repartition(4)
+    assert len(list(S.query_blocks(df.where("id < 5"), "id", "vec", 16))) == 3
     for block in (16, 1 << 20):
-        S.BLOCK_COMPONENTS, old = block, S.BLOCK_COMPONENTS
-        got = {(r.qid, r["rank"]): r.id for r in S.top_k(df.where("id < 5"), df, 3, "id", "vec", "id", "vec", exclude_same=True).collect()}
-        S.BLOCK_COMPONENTS = old
+        got = {(r.qid, r["rank"]): r.id for r in S.top_k(df.where("id < 5"), df, 3, "id", "vec", "id", "vec", exclude_same=True, components=block).collect()}
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         for q in range(5):
             order = [i for i in np.argsort(-(u @ u[q])) if i != q][:3]
             assert [got[q, r] for r in (1, 2, 3)] == order
 
 
+def test_kept_of_batches_with_ties():
+    rng = np.random.default_rng(9)
+    scores = rng.integers(0, 4, (3, 200)) / 4
+    ids = rng.permutation(200)
+    best = None
+    for at in range(0, 200, 40):
+        best = S._kept(5, best, scores[:, at : at + 40], ids[at : at + 40])
+    for q in range(3):
+        assert best[1][q].tolist() == [i for _, i in sorted(zip(-scores[q], ids.tolist()))][:5]
+
+
 def test_packing():
     assert list(packed([600, 300, 200], max_tokens=1000)) == [[2, 1], [0]]
     assert list(packed([5, 1, 1], max_rows=2)) == [[1, 2], [0]]
@@ -88,7 +98,7 @@ def test_specs(tmp_path):
 
 
 def test_embedding_isolates_bad_rows(spark):
-    m = catalog.models().models["embed"]
+    m = catalog.models(spark).models["embed"]
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "hello")], "id int, text string")
     rows = {r.id: r for r in E.embed(df, ["id"], "text", m).collect()}
     assert rows[2].error and rows[3].error and rows[2].embedding is None
@@ -100,7 +110,7 @@ def test_embedding_isolates_bad_rows(spark):
 
 
 def test_contextual(spark):
-    m = catalog.models().models["context"]
+    m = catalog.models(spark).models["context"]
     df = spark.createDataFrame([(1, 0, "hello"), (1, 1, "world"), (2, 0, "held"), (3, 0, "x"), (3, 1, "")], "doc int, i int, text string")
     rows = {(r.doc, r.i): r for r in E.embed_chunks(df, "doc", "i", "text", m).collect()}
     assert len(rows) == 5 and rows[3, 0].error and rows[3, 1].error
@@ -112,7 +122,7 @@ def test_contextual(spark):
 
 def ask(spark, route, **body):
     df = spark.createDataFrame([(1, json.dumps(body))], "request_id int, body string")
-    r = getattr(serve, route)(df, catalog.models()).first()
+    r = getattr(serve, route)(df, catalog.models(spark)).first()
     return r.status, json.loads(r.response)
 
 
@@ -166,7 +176,7 @@ def test_stats(spark):
 
 def test_text_sinks_and_stream(spark, tmp_path):
     assert [r.text for r in T.arguments(spark, ["a", "--", "-b"]).collect()] == ["a", "-b"]
-    m = catalog.models().models["embed"]
+    m = catalog.models(spark).models["embed"]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("hello\n\nworld\n")
     q = embed_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), m)

@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..nn import model as nn
@@ -115,15 +115,17 @@ def embed_distinct(df: DataFrame, keys: list[str], text: str, model: Served, ins
     return digest.select(*keys, "_digest").join(once, "_digest").drop("_digest")
 
 
-def pack_chunks(df: DataFrame, keys: list[str], chunk_index: str, ids: str, separator: int) -> DataFrame:
-    """keys, ids, spans: each document's chunks in order with separators between; spans leave the separators out."""
-    chunks = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(chunk_index).alias("i"), F.col(ids).alias("t")))).alias("c"))
+def pack_chunks(df: DataFrame, keys: list[str], chunk_index: str, ids: str, separator: int, error: str | None = None) -> DataFrame:
+    """keys, ids, spans, chunks: each document's chunks in order with separators between; spans leave the separators out. With ``error`` (a
+    column's name) also the largest of a document's errors."""
+    more = [F.max(error).alias("error")] if error else []
+    chunks = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(chunk_index).alias("i"), F.col(ids).alias("t")))).alias("c"), *more)
     first = F.lit(None).cast("array<int>")
     packed = F.aggregate("c", F.struct(first.alias("ids"), F.array().cast("array<struct<start:int,n_tokens:int>>").alias("spans")), lambda a, x: F.struct(
         F.when(a["ids"].isNull(), x["t"]).otherwise(F.concat(a["ids"], F.array(F.lit(separator)), x["t"])).alias("ids"),
         F.concat(a["spans"], F.array(F.struct(F.when(a["ids"].isNull(), 0).otherwise(F.size(a["ids"]) + 1).alias("start"), F.size(x["t"]).alias("n_tokens")))).alias("spans"),
     ))
-    return chunks.withColumn("p", packed).select(*keys, "p.ids", "p.spans", F.transform("c", lambda x: x["i"]).alias("chunks"))
+    return chunks.withColumn("p", packed).select(*keys, "p.ids", "p.spans", F.transform("c", lambda x: x["i"]).alias("chunks"), *(["error"] if error else []))
 
 
 def embed_chunks(df: DataFrame, doc: str, chunk_index: str, text: str, model: Served, tasks: int | None = None) -> DataFrame:
@@ -131,29 +133,28 @@ def embed_chunks(df: DataFrame, doc: str, chunk_index: str, text: str, model: Se
 
     A document with a bad chunk, or beyond the model's cap, is an error in all of its chunks; nothing is cut."""
     tokens = tokenize(df, [doc, chunk_index], text, model, cut=False)
-    bad = F.max("error").over(Window.partitionBy(doc)).alias("error")
-    checked = tokens.select(doc, chunk_index, "ids", bad)
-    packed = pack_chunks(checked.where("error IS NULL"), [doc], chunk_index, "ids", model.tokenizer().separator)
-    value = packed.select(doc, "chunks", F.struct("ids", "spans").alias("value"))
+    packed = pack_chunks(tokens, [doc], chunk_index, "ids", model.tokenizer().separator, "error")
+    value = packed.select(doc, "chunks", F.struct("ids", "spans", "error").alias("value"))
     place, cap = model.directory, model.token_cap
 
     def work(values: list) -> dict[str, list]:
         m = nn.load(place)
-        rows = [v["ids"] for v in values]
-        spans = [[(s["start"], s["n_tokens"]) for s in v["spans"]] for v in values]
+        good = [i for i, v in enumerate(values) if v["error"] is None]
+        rows = [values[i]["ids"] for i in good]
+        spans = [[(s["start"], s["n_tokens"]) for s in values[i]["spans"]] for i in good]
 
         def run(batch: list[int]) -> list[tuple]:
             if any(len(rows[i]) > cap for i in batch):
                 raise nn.ModelError(f"document exceeds {cap} token limit")
             return [(x.tolist(), None) for x in m.embed_spans([rows[i] for i in batch], [spans[i] for i in batch])]
 
-        made = run_packed(rows, run, lambda e: (None, str(e)))
-        return {"embeddings": [x for x, _ in made], "n_tokens": [len(r) for r in rows], "error": [e for _, e in made]}
+        out: dict[str, list] = {"embeddings": [None] * len(values), "n_tokens": [None] * len(values), "error": [v["error"] for v in values]}
+        for i, row, (x, e) in zip(good, rows, run_packed(rows, run, lambda e: (None, str(e))), strict=True):
+            out["embeddings"][i], out["n_tokens"][i], out["error"][i] = x, len(row), e
+        return out
 
     out = _stage(value, [doc, "chunks"], "value", "embeddings array<array<float>>, n_tokens int, error string", work, tasks or df.sparkSession.sparkContext.defaultParallelism)
-    each = out.select(doc, "n_tokens", "error", F.posexplode("chunks").alias("k", chunk_index), "embeddings").select(doc, chunk_index, F.get("embeddings", "k").alias("embedding"), "n_tokens", "error")
-    failed = checked.where("error IS NOT NULL").select(doc, chunk_index, F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("int").alias("n_tokens"), "error")
-    return each.union(failed)
+    return out.select(doc, "n_tokens", "error", F.posexplode("chunks").alias("k", chunk_index), "embeddings").select(doc, chunk_index, F.get("embeddings", "k").alias("embedding"), "n_tokens", "error")
 
 
 def late_vectors(df: DataFrame, keys: list[str], text: str, model: Served, is_query: bool, tasks: int | None = None) -> DataFrame:

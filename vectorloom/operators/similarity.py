@@ -43,32 +43,41 @@ def query_blocks(queries: DataFrame, id_col: str, vec_col: str, components: int
         yield ids, _matrix(rows)
 
 
-def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "qid", query_vec: str = "qvec", base_id: str = "id", base_vec: str = "vec", exclude_same: bool = False) -> DataFrame:
+def _kept(k: int, old: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of each query (row) among those kept so far and further ones, ties by id."""
+    if scores.shape[1] > 4 * k:  # all that reach the k-th best score, so that ties stay whole
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        near = (scores >= least[:, None]).any(0)
+        scores, ids = scores[:, near], ids[near]
+    ids = np.broadcast_to(ids, scores.shape)
+    if old is not None:
+        scores, ids = np.concatenate([old[0], scores], axis=1), np.concatenate([old[1], ids], axis=1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "qid", query_vec: str = "qvec", base_id: str = "id", base_vec: str = "vec", exclude_same: bool = False, components: int = BLOCK_COMPONENTS) -> DataFrame:
     """qid, id, cosine, rank: the ``k`` most similar rows of ``base`` for each query, ties by id.
 
-    Queries are sent in blocks; each task multiplies its rows with a block and passes on k candidates a query and Arrow batch, so
-    what is shuffled grows with queries and tasks, not with pairs. Base rows must be of one length, nulls are skipped."""
+    Queries are sent in blocks of at most ``components`` numbers; each task multiplies its rows with a block, keeps the best of each query
+    over all its batches and passes them on once: what is shuffled grows with queries and tasks, not with pairs. Each further
+    block is a further pass over ``base``. Base rows must be of one length, nulls are skipped."""
     ship(base.sparkSession)
     id_kind = base.schema[base_id].dataType.simpleString()
     qid_kind = queries.schema[query_id].dataType.simpleString()
     out: DataFrame | None = None
-    for ids, matrix in query_blocks(queries, query_id, query_vec):
+    for ids, matrix in query_blocks(queries, query_id, query_vec, components):
         shared = base.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
+            best = None
             for b in batches:
-                if not len(b):
-                    continue
-                own = b.column(0).to_pylist()
-                scores = q @ _matrix(b.column(1).to_pylist()).T
-                order = np.argsort(np.array(own, dtype=object) if isinstance(own[0], str) else np.array(own), kind="stable")
-                rows: list[tuple] = []
-                n = min(k + 1, len(own))
-                for i, row in enumerate(scores[:, order]):
-                    for j in np.argsort(-row, kind="stable")[:n]:
-                        rows.append((qids[i], own[order[j]], float(row[j])))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["qid", "id", "cosine"])
+                if len(b):
+                    best = _kept(k + 1, best, q @ _matrix(b.column(1).to_pylist()).T, np.array(b.column(0).to_pylist()))
+            if best is not None:
+                n = best[0].shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i in qids for _ in range(n)]), pa.array(best[1].ravel().tolist()), pa.array(best[0].ravel())], names=["qid", "id", "cosine"])
 
         found = base.select(F.col(base_id).alias("id"), F.col(base_vec).alias("vec")).where("vec IS NOT NULL").mapInArrow(run, f"qid {qid_kind}, id {id_kind}, cosine double")
         out = found if out is None else out.union(found)

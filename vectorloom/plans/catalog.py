@@ -45,14 +45,21 @@ def tasks(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+def models(spark: SparkSession) -> ModelRegistry:
+    """Small models of each kind, in the folder that all executors share (``spark.checkpoint.dir``, as a mounted path), or where that is
+    unset in a folder of the driver's own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    return _models(shared.removeprefix("file://") if shared.startswith(("/", "file:///")) else "")
+
+
 @cache
-def models() -> ModelRegistry:
-    """Small models of each kind, written where the driver is; only local masters can open them."""
-    at = tempfile.mkdtemp(prefix="vectorloom-models-")
+def _models(shared: str) -> ModelRegistry:
+    at = tempfile.mkdtemp(prefix="vectorloom-models-", dir=shared if shared and (os.path.isdir(shared) or not os.makedirs(shared)) else None)
     r = ModelRegistry()
     r.register("embed", write_model(os.path.join(at, "embed"), "qwen3", hidden=64, heads=4, layers=2, intermediate=128), min_dim=8, query="query: ")
     r.register("native", write_model(os.path.join(at, "native"), "base", hidden=64, heads=4, intermediate=128), api="perplexity", min_dim=8)
     r.register("bert", write_model(os.path.join(at, "bert"), "bert", "wordpiece", hidden=64, heads=4, intermediate=128), min_dim=8)
+    r.register("xlmr", write_model(os.path.join(at, "xlmr"), "xlm-roberta", "unigram", hidden=64, heads=4, intermediate=128), min_dim=8)
     r.register("context", write_model(os.path.join(at, "context"), "base", hidden=64, heads=4, intermediate=128), kind="contextual", min_dim=8)
     r.register("late", write_model(os.path.join(at, "late"), "base", hidden=64, heads=4, intermediate=128, late_dim=32), kind="late")
     return r
@@ -71,15 +78,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("qid", "id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_COS}, 6) AS cosine FROM {_E} a, {_E} b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 0")
+@query(f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_COS}, 6) AS cosine FROM {_E} a, {_E} b WHERE a.vec_id % 20 = 0")
 def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of a set of vectors, diagonal included."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
-    return S.cosine_matrix(e, e, "vec_id", "vec_id", "embedding", "embedding").withColumn("cosine", F.round("cosine", 6))
-
-
-@query()
-def cosine_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector against all of them, diagonal included."""
     e = table(spark, sf_dir, "embeddings")
     return S.cosine_blocks(e.where("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", "embedding").withColumn("cosine", F.round("cosine", 6))
@@ -116,7 +116,12 @@ def sign_bits_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", v.encode("embedding", "base64_binary").alias("b64"))
 
 
-@query()
+_BITS = "CASE WHEN x = 0 THEN 0 ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END) + (p + 127) * 8388608 + CAST((abs(x) / pow(2.0, p) - 1) * 8388608 AS BIGINT) END"
+_POWER = "CAST(floor(log2(abs(x))) AS BIGINT) + CASE WHEN abs(x) >= pow(2.0, floor(log2(abs(x))) + 1) THEN 1 WHEN abs(x) < pow(2.0, floor(log2(abs(x)))) THEN -1 ELSE 0 END"
+
+
+@query(f"""SELECT vec_id, base64(unhex(string_agg(printf('%02X%02X%02X%02X', bits % 256, bits // 256 % 256, bits // 65536 % 256, bits // 16777216), '' ORDER BY i))) AS b64
+FROM (SELECT vec_id, i, {_BITS} AS bits FROM (SELECT vec_id, i, x, CASE WHEN x = 0 THEN 0 ELSE {_POWER} END AS p FROM (SELECT vec_id, unnest(e) AS x, unnest(range(0, len(e))) AS i FROM {_E}))) GROUP BY vec_id""")
 def float_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", v.encode("embedding", "base64").alias("b64"))
 
@@ -231,7 +236,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id AS request_id, CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'body.input.1:value_error.empty' WHEN 2 THEN 'body.model:enum' WHEN 3 THEN 'body.dimensions:value_error.range' WHEN 4 THEN 'body.model:enum' WHEN 5 THEN 'body.encoding_format:enum' WHEN 6 THEN 'body:value_error.json' ELSE 'body.input:value_error.list.min_items' END AS errors FROM documents""")
 def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of every request as location:type."""
-    checked = requests.validate_embeddings(_bodies(spark, sf_dir), models())
+    checked = requests.validate_embeddings(_bodies(spark, sf_dir), models(spark))
     return checked.select("request_id", F.array_join(F.transform("errors", lambda e: F.concat(F.array_join(e["loc"], "."), F.lit(":"), e["type"])), ";").alias("errors"))
 
 
@@ -239,51 +244,51 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def serve_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's whole text as a request; texts beyond the model's cap are cut to it, not refused."""
     d = table(spark, sf_dir, "documents")
-    return serve.embeddings(d.select(F.col("doc_id").alias("request_id"), F.to_json(F.struct(F.lit("embed").alias("model"), F.col("text").alias("input"))).alias("body")), models(), auto_truncate=True)
+    return serve.embeddings(d.select(F.col("doc_id").alias("request_id"), F.to_json(F.struct(F.lit("embed").alias("model"), F.col("text").alias("input"))).alias("body")), models(spark), auto_truncate=True)
 
 
 @query()
 def serve_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     docs = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("chunks"))
-    return serve.contextual(docs.select(F.col("conv_id").alias("request_id"), F.to_json(F.struct(F.lit("context").alias("model"), F.array("chunks").alias("input"))).alias("body")), models())
+    return serve.contextual(docs.select(F.col("conv_id").alias("request_id"), F.to_json(F.struct(F.lit("context").alias("model"), F.array("chunks").alias("input"))).alias("body")), models(spark))
 
 
 @query()
 def serve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     bodies = b.groupBy(F.floor(F.col("item_id") / 10).alias("request_id")).agg(F.min("text").alias("query"), F.array_sort(F.collect_list("text")).alias("documents"))
-    return serve.rerank(bodies.select("request_id", F.to_json(F.struct(F.lit("late").alias("model"), "query", "documents", F.lit(3).alias("top_n"), F.lit(True).alias("return_documents"))).alias("body")), models())
+    return serve.rerank(bodies.select("request_id", F.to_json(F.struct(F.lit("late").alias("model"), "query", "documents", F.lit(3).alias("top_n"), F.lit(True).alias("return_documents"))).alias("body")), models(spark))
 
 
 @query()
 def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text, cut to the model's cap."""
-    return E.tokenize(table(spark, sf_dir, "documents"), ["doc_id"], "text", models().models["embed"], tasks=tasks(spark))
+    return E.tokenize(table(spark, sf_dir, "documents"), ["doc_id"], "text", models(spark).models["embed"], tasks=tasks(spark))
 
 
 @query()
 def embed_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled vectors of the benchmark's texts."""
-    return E.embed(table(spark, sf_dir, "benchmark"), ["item_id"], "text", models().models["embed"], tasks=tasks(spark))
+    return E.embed(table(spark, sf_dir, "benchmark"), ["item_id"], "text", models(spark).models["embed"], tasks=tasks(spark))
 
 
 @query()
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled vectors of whole documents, cut to the model's cap."""
-    return E.embed(table(spark, sf_dir, "documents"), ["doc_id"], "text", models().models["embed"], tasks=tasks(spark))
+    return E.embed(table(spark, sf_dir, "documents"), ["doc_id"], "text", models(spark).models["embed"], tasks=tasks(spark))
 
 
 @query()
 def embed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations in the context of the whole."""
-    return E.embed_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", models().models["context"])
+    return E.embed_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", models(spark).models["context"])
 
 
 @query()
 def rerank_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth item as a query against all items: token vectors are made once, then ranked."""
-    m = models().models["late"]
+    m = models(spark).models["late"]
     b = table(spark, sf_dir, "benchmark")
     q = E.late_vectors(b.where("item_id % 20 = 0"), ["item_id"], "text", m, True, tasks(spark)).withColumnRenamed("item_id", "qid")
     d = E.late_vectors(b, ["item_id"], "text", m, False, tasks(spark)).withColumnRenamed("item_id", "doc_id")
@@ -291,9 +296,12 @@ def rerank_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rerank(candidates, q, d, top_n=5)
 
 
-@query()
+#: Sizes are two bytes for each weight of these shapes.
+@query("""SELECT * FROM (VALUES ('embed', 'standard', 'openai', 64, 8, 2, 'decoder', 'last', true, 16384, 'ByteBPE', 182528), ('native', 'standard', 'perplexity', 64, 8, 1, 'decoder', 'mean', false, 16384, 'ByteBPE', 108480),
+('bert', 'standard', 'openai', 64, 8, 1, 'encoder', 'mean', false, 514, 'WordPiece', 136320), ('xlmr', 'standard', 'openai', 64, 8, 1, 'encoder', 'mean', false, 512, 'Unigram', 135168), ('context', 'contextual', 'openai', 64, 8, 1, 'decoder', 'mean', false, 16384, 'ByteBPE', 108480),
+('late', 'late', 'openai', 64, 0, 1, 'decoder', 'mean', false, 16384, 'ByteBPE', 108480)) t(label, kind, api, dim, min_dim, layers, family, pooling, normalize, token_cap, tokenizer, bytes)""")
 def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models().describe(spark).drop("directory")
+    return models(spark).describe(spark).drop("directory")
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -365,7 +373,7 @@ def validate_contextual_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("request_id") % 4
     good = F.to_json(F.struct(F.lit("context").alias("model"), F.array(F.array("t")).alias("input")))
     body = F.when(k == 0, good).when(k == 1, F.lit('{"model": "context", "input": [[]]}')).when(k == 2, F.lit('{"input": [[""]]}')).otherwise(F.lit('{"model": "context", "input": "x"}'))
-    return _error_names(requests.validate_contextual(c.select("request_id", body.alias("body")), models()))
+    return _error_names(requests.validate_contextual(c.select("request_id", body.alias("body")), models(spark)))
 
 
 @query("""SELECT item_id AS request_id, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'body.top_n:value_error.range' WHEN 2 THEN 'body.query:value_error.empty;body.top_n:value_error.conflict;body.return_documents:type_error.bool' ELSE 'body.documents.1:type_error.string' END AS errors, CASE item_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 9 WHEN 2 THEN 1 ELSE 2 END AS top_n FROM benchmark""")
@@ -375,9 +383,120 @@ def validate_rerank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.to_json(F.struct(F.lit("late").alias("model"), F.col("text").alias("query"), F.array("text", "text").alias("documents")))
     body = F.when(k == 0, good).when(k == 1, F.lit('{"model": "late", "query": "q", "documents": ["a"], "top_n": 9}'))
     body = body.when(k == 2, F.lit('{"model": "late", "query": "", "documents": ["a"], "top_n": 1, "top_k": 1, "return_documents": 1}')).otherwise(F.lit('{"model": "late", "query": "q", "documents": ["a", 3]}'))
-    checked = requests.validate_rerank(b.select("request_id", body.alias("body")), models())
+    checked = requests.validate_rerank(b.select("request_id", body.alias("body")), models(spark))
     return _error_names(checked, "top_n")
 
 
 def _error_names(checked: DataFrame, *more: str) -> DataFrame:
     return checked.select("request_id", F.array_join(F.transform("errors", lambda e: F.concat(F.array_join(e["loc"], "."), F.lit(":"), e["type"])), ";").alias("errors"), *more)
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform(e[1:32], lambda x: x * x)) / list_sum(list_transform(e[1:32], lambda x: x * x)), 6) AS cut_last, round(list_sum(list_transform(e[1:32], lambda x: x * x)), 6) AS cut_mean, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS whole FROM {_E}""")
+def matryoshka_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared lengths: cut vectors are made unit vectors again for normalised last-token models only, whole ones stay as they are."""
+    square = lambda vec: F.round(F.aggregate(F.transform(vec, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
+    short = lambda dims, last: square(v.matryoshka("embedding", dims, 64, True, last))
+    return table(spark, sf_dir, "embeddings").select("vec_id", short(32, True).alias("cut_last"), short(32, False).alias("cut_mean"), short(64, True).alias("whole"))
+
+
+@query(f"""SELECT round(sum(len(list_filter(list_zip({_Q8}, {_Q8.replace('tanh(x)', 'tanh(x * 1.01)')}), lambda p: p[1] <> p[2]))) / sum(len(e)), 6) AS change_rate, round(min(list_cosine_similarity(e, list_transform(e, lambda x: x * 1.01))), 6) AS min_cosine, round(max(sqrt(list_sum(list_transform(e, lambda x: (x - x * 1.01) * (x - x * 1.01)))) / sqrt(list_sum(list_transform(e, lambda x: x * x)))), 6) AS max_rel_l2 FROM {_E}""")
+def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of int8 bytes that differ, worst cosine and largest relative distance when vectors grow by a hundredth."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("a")).withColumn("b", F.transform("a", lambda x: x * 1.01))
+    d = stats.drift(e.withColumns({"p": v.int8_quantize("a"), "q": v.int8_quantize("b")}), "a", "b", "p", "q")
+    return d.select(*(F.round(c, 6).alias(c) for c in ("change_rate", "min_cosine", "max_rel_l2")))
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
+
+
+#: Texts, and their ids in the small vocabularies; encoders put their marks around.
+TOKENIZER_CASES = [
+    ("native", "hello", "259"), ("native", "hello world", "259 263 262"), ("native", "held", "256 262"), ("native", "dr", "100 114"), ("native", "x123", "120 49 50 51"),
+    ("native", "hello, world!", "259 44 263 262 33"), ("native", "a\tb", "97 9 98"), ("native", "a\nb", "97 10 98"), ("native", "7 8", "55 32 56"), ("native", "it's", "105 116 39 115"),
+    ("native", "\u00e9", "195 169"), ("native", "e\u0301", "195 169"), ("native", "a\u2026b", "97 226 128 166 98"), ("embed", "hello world", "259 263 262 264"),
+    ("bert", "the capital of france is paris", "2 5 6 7 8 9 10 3"), ("bert", "unaffable", "2 13 14 15 3"), ("bert", "tokenization", "2 21 22 3"), ("bert", "The Capital.", "2 5 6 12 3"),
+    ("bert", "hello, world!", "2 17 11 18 19 3"), ("bert", "caf\u00e9", "2 16 3"), ("bert", "cafe\u0301", "2 16 3"), ("bert", "2023", "2 20 3"), ("bert", "xyzzy", "2 1 3"), ("bert", "\u4e2d\u6587", "2 23 1 3"),
+    ("xlmr", "Hello world!", "0 8 9 7 2"), ("xlmr", "   ", "0 2"), ("xlmr", "\u5357\u74dc", "0 6 10 11 2"), ("xlmr", "missing", "0 6 3 2"),
+]
+
+
+@query(_values([(k, *c) for k, c in enumerate(TOKENIZER_CASES)], "id, model, text, ids"))
+def tokenizer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tokenizer families on known texts."""
+    cases = spark.createDataFrame([(k, *c[:2]) for k, c in enumerate(TOKENIZER_CASES)], "id int, model string, text string")
+    parts = [E.tokenize(cases.where(F.col("model") == m), ["id", "model", "text"], "text", models(spark).models[m]) for m in ("native", "embed", "bert", "xlmr")]
+    return serve._union(parts).select("id", "model", "text", F.array_join("ids", " ").alias("ids"))
+
+
+#: Request bodies, and what is wrong with them.
+BODY_CASES = [
+    ('{"model": "embed", "input": "a", "dimensions": 32.0}', ""), ('{"model": "embed", "input": "a", "dimensions": 32.5}', "body.dimensions:type_error.integer"), ('{"model": "embed", "input": "a", "dimensions": "32"}', "body.dimensions:type_error.integer"),
+    ('{"model": "embed", "input": "a", "dimensions": 65}', "body.dimensions:value_error.range"), ('{"model": "embed", "input": "a", "text_type": "query"}', ""), ('{"model": "embed", "input": "a", "text_type": "passage"}', "body.text_type:enum"),
+    ('{"model": "embed", "input": "a", "text_type": 5}', "body.text_type:type_error.string"), ('{"model": "native", "input": "a", "text_type": "query"}', "body.text_type:extra_fields"), ('{"model": "native", "input": "a", "encoding_format": "base64_binary", "dimensions": 12}', "body.dimensions:value_error.divisible"),
+    ('{"model": "native", "input": "a", "encoding_format": "base64"}', "body.encoding_format:enum"), ('{"model": 3, "input": "a"}', "body.model:type_error.string"), ('{"input": "a"}', "body.model:missing"), ('{"model": "embed"}', "body.input:missing"),
+    ('{"model": "embed", "input": ""}', "body.input:value_error.empty"), ('{"model": "embed", "input": 7}', "body.input:type_error"), ('{"model": "embed", "input": ["a", 7]}', "body.input.1:type_error.string"), ("[1]", "body:value_error.json"), ("", "body:value_error.json"),
+]
+
+
+@query(_values([(k, e) for k, (_, e) in enumerate(BODY_CASES)], "request_id, errors"))
+def validation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of an embeddings request on a body of its own."""
+    bodies = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(BODY_CASES)], "request_id int, body string")
+    return _error_names(requests.validate_embeddings(bodies, models(spark)))
+
+
+#: Requests of the three routes; status, items, tokens, first error's type.
+ROUTE_CASES = [
+    ("embeddings", '{"model": "native", "input": ["hello", "hello world"]}', 200, 2, 4, None), ("embeddings", '{"model": "bert", "input": "hello, world!"}', 200, 1, 6, None), ("embeddings", '{"model": "nobody", "input": "a"}', 422, None, None, "enum"),
+    ("embeddings", '{"model": "native", "input": "' + "x " * 40_000 + '"}', 422, None, None, "value_error.context_length"),
+    ("contextual", '{"model": "context", "input": [["hello", "world"], ["held"]]}', 200, 2, 7, None), ("contextual", '{"model": "context", "input": [[]]}', 422, None, None, "value_error.list.min_items"),
+    ("rerank", '{"model": "late", "query": "hello", "documents": ["hello", "held", "dr"], "top_n": 2, "return_documents": true}', 200, 2, 40, None), ("rerank", '{"model": "late", "query": "hello", "documents": ["a"], "top_n": 2}', 422, None, None, "value_error.range"),
+]
+
+
+@query(_values([(k, r, *x) for k, (r, _, *x) in enumerate(ROUTE_CASES)], "request_id, route, status, items, tokens, error"))
+def route_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three routes on known requests: status, results, usage, errors."""
+    bodies = spark.createDataFrame([(k, r, b) for k, (r, b, *_) in enumerate(ROUTE_CASES)], "request_id int, route string, body string")
+    parts = [run(bodies.where(F.col("route") == r), models(spark)).withColumn("route", F.lit(r)) for r, run in (("embeddings", serve.embeddings), ("contextual", serve.contextual), ("rerank", serve.rerank))]
+    said = lambda path: F.get_json_object("response", path)
+    items = F.when(F.col("status") == 200, F.json_array_length(F.coalesce(said("$.data"), said("$.results"))))
+    return serve._union(parts).select("request_id", "route", "status", items.alias("items"), said("$.usage.total_tokens").cast("int").alias("tokens"), said("$.detail[0].type").alias("error"))
+
+
+@query("SELECT doc_id AS request_id, CASE WHEN coalesce(text, '') = '' THEN 422 ELSE 200 END AS status, CASE WHEN coalesce(text, '') = '' THEN NULL ELSE 64 END AS dims FROM documents")
+def serve_embeddings_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and size of the answer for every document's whole text."""
+    answers = serve_embeddings(spark, sf_dir)
+    vec = F.from_json(F.get_json_object("response", "$.data[0].embedding"), "array<double>")
+    return answers.select("request_id", "status", F.when(F.col("status") == 200, F.size(vec)).alias("dims"))
+
+
+@query("SELECT conv_id AS request_id, 200 AS status, count(*) AS chunks FROM conversations GROUP BY conv_id HAVING count(*) = count(nullif(text, ''))")
+def serve_contextual_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks answered for each conversation whose turns all have text."""
+    return serve_contextual(spark, sf_dir).where("status = 200").select("request_id", "status", F.json_array_length(F.get_json_object("response", "$.data[0].data")).cast("long").alias("chunks"))
+
+
+@query("SELECT doc_id, 1 AS n, TRUE AS in_vocabulary FROM documents WHERE coalesce(text, '') <> ''")
+def tokenize_documents_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with tokens, and whether all their ids are the vocabulary's, with the end mark last unless cut."""
+    t = tokenize_documents(spark, sf_dir).where("error IS NULL")
+    inside = F.forall("ids", lambda i: (i >= 0) & (i < 268)) & (F.element_at("ids", -1) == 264)
+    return t.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"), F.bool_and(inside).alias("in_vocabulary"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE coalesce(text, '') <> '' AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE coalesce(text, '') = '')")
+def embed_conversations_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that get a vector of the model's size."""
+    return embed_conversations(spark, sf_dir).where("error IS NULL AND size(embedding) = 64").select("conv_id", "turn")
+
+
+@query("SELECT item_id, CAST(1 AS DOUBLE) AS squared FROM benchmark WHERE coalesce(text, '') <> ''")
+def embed_benchmark_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A normalising model's vectors are unit vectors."""
+    square = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return embed_benchmark(spark, sf_dir).where("error IS NULL").select("item_id", F.round(square, 4).alias("squared"))
