@@ -52,6 +52,22 @@ def test_maxsim_forms_agree(spark):
     assert nested.first().score == pytest.approx(want, abs=1e-4)
 
 
+def test_rerank_with_shared_queries(spark):
+    rng = np.random.default_rng(6)
+    qs = [(i, rng.normal(size=(i % 3, 4)).tolist()) for i in range(6)]
+    ds = [(f"d{i}", rng.normal(size=(i % 4, 4)).tolist()) for i in range(30)]
+    q = spark.createDataFrame(qs, "qid int, vectors array<array<float>>")
+    d = spark.createDataFrame([*ds, ("none", None)], "doc_id string, vectors array<array<float>>").repartition(3)
+    pairs = spark.createDataFrame([*((i, k) for i, _ in qs for k, _ in ds), (1, "none"), (1, "absent"), (9, "d1"), (None, "d1")], "qid int, doc_id string")
+    plain = sorted(S.rerank(pairs, q, d).collect(), key=lambda r: (r.qid, r["rank"]))
+    assert len(plain) == 181
+    for components in (1 << 20, 3):
+        got = sorted(S.rerank(pairs, q, d, share_queries=True, components=components).collect(), key=lambda r: (r.qid, r["rank"]))
+        assert [(r.qid, r.doc_id) for r in got] == [(r.qid, r.doc_id) for r in plain]
+        assert np.allclose([r.score for r in got], [r.score for r in plain], atol=1e-4)
+    assert S._shared_queries(q, 3) is None and S._shared_queries(q.union(q), 1 << 20) is None
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 8)).astype(np.float32)
@@ -165,11 +181,25 @@ def test_served_contextual_and_rerank(spark):
     assert status == 422 and {e["type"] for e in out["detail"]} == {"value_error.empty", "value_error.list.min_items", "value_error.conflict", "value_error.range"}
 
 
-def test_stats(spark):
+def test_stats(spark, monkeypatch):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3)] + [("b", float(x)) for x in (4, 5, 6)], "s string, x double").withColumn("k", F.lit(1))
     assert stats.mann_whitney(df, ["k"], "s", "x", "a").first().u == 0
     assert stats.summary(df, ["k"], "x", (0.5,)).first().p50 == 3.5
     assert stats.nearest_rank(df, ["k"], "x", 0.5).first().value == 3
+    rng = np.random.default_rng(4)
+    rows = [(k, "ab"[int(rng.integers(2))], float(x)) for k, n in (("p", 3000), (None, 500), ("q", 1)) for x in np.round(rng.exponential(size=n), 2)]
+    skewed = spark.createDataFrame([*rows, ("p", "a", None), ("empty", "a", None)], "k string, s string, x double").repartition(4)
+    for most in (1000, 1):  # sliced groups, and whole ones
+        monkeypatch.setattr(stats, "MOST_GROUPS", most)
+        got = {r.k: r for r in stats.summary(skewed, ["k"], "x", (0.5, 0.95), (0.9,)).collect()}
+        tests = {r.k: r for r in stats.mann_whitney(skewed, ["k"], "s", "x", "a").collect()}
+        assert got["empty"].n == 0 and got["empty"].p50 is None and "empty" not in tests
+        for k in ("p", None, "q"):
+            x = np.array([v for g, _, v in rows if g == k])
+            assert (got[k].n, got[k].min, got[k].max) == (len(x), x.min(), x.max()) and got[k].mean == pytest.approx(x.mean())
+            assert (got[k].p50, got[k].p95) == pytest.approx(tuple(np.quantile(x, (0.5, 0.95)))) and got[k].rank90 == np.sort(x)[int(np.ceil(0.9 * len(x))) - 1]
+            a, b = (np.array([v for g, s, v in rows if g == k and s == w]) for w in "ab")
+            assert tests[k].n1 == len(a) and tests[k].u == (a[:, None] > b).sum() + (a[:, None] == b).sum() / 2
     same = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0], [1], [1])], "a array<double>, b array<double>, p array<int>, q array<int>")
     assert stats.drift(same, "a", "b", "p", "q").first() == (0.0, 1.0, 0.0)
 

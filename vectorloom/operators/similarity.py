@@ -135,10 +135,26 @@ def ranked(scores: DataFrame, top_n: int | Column | None = None, qid: str = "qid
     return out if top_n is None else out.where(F.col("rank") <= top_n)
 
 
-def rerank(candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, top_n: int | None = None) -> DataFrame:
+def _shared_queries(query_vectors: DataFrame, components: int) -> dict | None:
+    """qid to its matrix, or None where the queries hold more than ``components`` numbers or repeat an id; one pass, which stops there."""
+    out, left = {}, components
+    for qid, vectors in query_vectors.select("qid", "vectors").where("qid IS NOT NULL").toLocalIterator():
+        left -= sum(map(len, vectors or ())) + 1
+        if left < 0 or qid in out:
+            return None
+        out[qid] = np.array(vectors or (), np.float32)
+    return out
+
+
+def rerank(candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, top_n: int | None = None, share_queries: bool = False, components: int = BLOCK_COMPONENTS) -> DataFrame:
     """qid, doc_id, score, rank from ``candidates`` (qid, doc_id), ``query_vectors`` (qid, vectors) and ``doc_vectors``
-    (doc_id, vectors): nested vectors travel once a candidate, and each pair is one matrix product."""
+    (doc_id, vectors). With ``share_queries``, queries of at most ``components`` numbers (read here to be counted) are broadcast: a
+    document's vectors then travel once, with the ids of its queries, and a query meets a batch's documents in products of many. Otherwise
+    nested vectors of both sides travel once a candidate, and each pair is one product."""
     ship(candidates.sparkSession)
+    queries = _shared_queries(query_vectors, components) if share_queries else None
+    if queries is not None:
+        return ranked(_scores_by_document(candidates, queries, doc_vectors), top_n)
     both = candidates.select("qid", "doc_id").join(query_vectors.select("qid", F.col("vectors").alias("q")), "qid").join(doc_vectors.select("doc_id", F.col("vectors").alias("d")), "doc_id")
     kinds = {f.name: f.dataType.simpleString() for f in both.schema}
 
@@ -151,6 +167,31 @@ def rerank(candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFra
     return ranked(both.select("qid", "doc_id", "q", "d").mapInArrow(run, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score float"), top_n)
 
 
+def _scores_by_document(candidates: DataFrame, queries: dict, doc_vectors: DataFrame) -> DataFrame:
+    """qid, doc_id, score of the candidates of known queries; a document's list of queries is no longer than ``queries``, unless pairs repeat."""
+    shared = candidates.sparkSession.sparkContext.broadcast(queries)
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    wanted = candidates.groupBy("doc_id").agg(F.collect_list("qid").alias("qids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            docs = [np.array(d or (), np.float32) for d in b.column(2).to_pylist()]
+            rows: dict = {}
+            for i, qids in enumerate(b.column(1).to_pylist()):
+                for qid in qids:
+                    if qid in known:
+                        rows.setdefault(qid, []).append(i)
+            for qid, at in rows.items():
+                scores, full = np.zeros(len(at), np.float32), [k for k, i in enumerate(at) if len(docs[i])]
+                if len(known[qid]) and full:
+                    scores[full] = nn.maxsim_batch(known[qid], [docs[at[k]] for k in full])
+                yield pa.RecordBatch.from_arrays([pa.array([qid] * len(at), b.schema.field(1).type.value_type), b.column(0).take(pa.array(at)), pa.array(scores)], names=["qid", "doc_id", "score"])
+
+    both = wanted.join(doc_vectors.select("doc_id", "vectors"), "doc_id").select("doc_id", "qids", "vectors")
+    return both.mapInArrow(run, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score float")
+
+
 def pool_groups(df: DataFrame, keys: list[str], vec: str, mode: str = "mean", position: str | None = None) -> DataFrame:
     """keys, vec: the mean of each group's vectors, or the first or last by ``position``. Means go by (group, component), with partial sums."""
     if mode != "mean":
