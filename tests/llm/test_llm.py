@@ -458,10 +458,53 @@ def test_toxicity(spark):
     kept = toxicity.drop_toxic(df, model)
     assert kept.columns == df.columns and kept.count() == sum(r.predicted == 0 for r in out)
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0
+    assert toxicity.drop_toxic(df.limit(0), model).count() == 0
+    odd = docs(spark, [*AWKWARD, "groxil " * 40, "groxil " * 40], [None, *range(len(AWKWARD) - 1), 70, 70])
+    some = toxicity.score_toxicity(odd, model).collect()
+    assert len(some) == len(AWKWARD) + 2 and all(0 <= r.score <= 1 for r in some) and [r.predicted for r in some if r.doc_id == 70] == [1, 1]
+    assert sorted(r.doc_id or -1 for r in toxicity.drop_toxic(odd, model).collect()) == sorted(r.doc_id or -1 for r in some if not r.predicted)
     nothing = toxicity.fit(df.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert 0 <= nothing.score(b"any text") <= 1
 
 
+def test_kneser_ney_against_brute_force(spark):
+    """The log-ratios against the formulas over all substrings of all words."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 8))) for _ in range(rng.integers(1, 12))) for _ in range(40)]
+    of = {i: i % 2 for i in range(24)}  # the others have no class, but count for the shared model
+    rows = toxicity.corpus_grams(docs(spark, [*texts, None, ""]), spark.createDataFrame(list(of.items()), "id long, toxic int"))
+    seen = rows.where("n0 + n1 > 0")
+    found = toxicity.backoff_rows(rows, seen).collect()
+    assert len({r.gram for r in found}) == len(found)
+    model = toxicity.kneser_ney([(r.key, r.n0, r.n1) for r in seen.collect()], {r.gram: (r.left, r.total, r.types) for r in found})
+
+    own, parts = [defaultdict(int), defaultdict(int)], set()
+    for i, text in enumerate(texts):
+        for w in set(text.split()):
+            s = toxicity.START + w + toxicity.END
+            parts |= {s[a:b] for a in range(len(s)) for b in range(a + 1, min(len(s), a + toxicity.ORDER) + 1)}
+            if i in of:
+                for g in (s[max(0, j + 1 - toxicity.ORDER) : j + 1] for j in range(1, len(s))):
+                    own[of[i]][g] += 1
+    left = defaultdict(int)
+    for g in parts:
+        left[g[1:]] += 1
+
+    def share(g):
+        if not g:
+            return 1 / 256
+        after = [n for x, n in left.items() if x and x[:-1] == g[:-1] and len(x) == len(g)]
+        return (max(left[g] - 0.75, 0) + 0.75 * len(after) * share(g[1:])) / sum(after) if after else share(g[1:])
+
+    def likelihood(counts, g):
+        after = [n for x, n in counts.items() if x[:-1] == g[:-1]]
+        return (max(counts.get(g, 0) - 0.75, 0) + 0.75 * len(after) * share(g[1:])) / sum(after) if after else share(g[1:])
+
+    assert set(model.ratio) == set(own[0]) | set(own[1])
+    for g, r in model.ratio.items():
+        assert r == pytest.approx(np.log(likelihood(own[1], g) / likelihood(own[0], g)))
+
+
 @given(st.lists(st.sampled_from("released under the mit bsd license licensed cc by nc 4 0 and x y z".split()), max_size=40), st.sampled_from([0.6, 0.8, 1.0]))
 @settings(max_examples=300, deadline=None)
 def test_license_join(words, threshold):

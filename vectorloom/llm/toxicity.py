@@ -104,17 +104,21 @@ def corpus_grams(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", tex
 
 def backoff_rows(all_grams: DataFrame, seen: DataFrame) -> DataFrame:
     """Continuation counts that the n-grams in ``seen`` (column key) need: gram, left (distinct characters before it),
-    for every proper suffix of them, and the same sums for their contexts: total, types."""
-    level = all_grams.select(F.col("key").alias("gram"))
-    wanted = seen.select(F.col("key").alias("gram"))
+    for every proper suffix of them, and the same sums for their contexts: total, types. One row an n-gram: n-grams of a length are
+    counted together, whether they are suffixes of longer ones or stand at a word's start and have no longer one."""
+
+    def of_length(rows: DataFrame, n: int) -> DataFrame:
+        return rows.select(F.col("key").alias("gram")).where(F.length("gram") == n)
+
+    level, wanted = of_length(all_grams, ORDER), of_length(seen, ORDER)
     out = None
-    for _ in range(ORDER - 1):
-        level = level.where(F.length("gram") > 1).groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("left"))
-        wanted = wanted.where(F.length("gram") > 1).select(F.expr("substring(gram, 2)").alias("gram")).distinct()
+    for n in range(ORDER - 1, 0, -1):
+        level = level.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("left"))
+        wanted = wanted.select(F.expr("substring(gram, 2)").alias("gram")).distinct()
         context = level.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).agg(F.sum("left").alias("total"), F.count("*").alias("types"))
         rows = wanted.join(level, "gram").withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")).join(context, "context").select("gram", "left", "total", "types")
         out = rows if out is None else out.union(rows)
-        level = level.select("gram")
+        level, wanted = level.select("gram").union(of_length(all_grams, n)), wanted.union(of_length(seen, n))
     return out
 
 
@@ -255,7 +259,10 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``, columns as they came; nothing is shuffled."""
+    """Rows of ``docs`` that score below ``threshold``, columns as they came; nothing is shuffled.
+
+    Null and empty texts are judged by the calibration for no evidence. Each row is judged by its text alone, so repeated rows go or stay
+    together; ids are not read and may be null. Empty table: empty result. Extra columns pass through."""
     shared = Shared(docs.sparkSession, (model.ratio, model.unseen, model.weights))
     at = docs.columns.index(text_col)
 
