@@ -43,10 +43,10 @@ def token_count(text_col: str = "text") -> Column:
 
 
 def domain_of(source: Column) -> Column:
-    number = F.regexp_extract(source, r"^src([0-9]{1,4})$", 1)
+    number = F.regexp_extract(source, r"^src([0-9]{1,4})$", 1).try_cast("int")  # null for any other source
     out = F.lit("other")
     for name, of in DOMAINS.items():
-        out = F.when((number != "") & number.cast("int").between(of[0], of[-1]), F.lit(name)).otherwise(out)
+        out = F.when(number.between(of[0], of[-1]), F.lit(name)).otherwise(out)
     return out
 
 
@@ -71,8 +71,9 @@ def water_fill(children: DataFrame, parent: Sequence[str]) -> DataFrame:
     all_of = Window.partitionBy(*parent)
     rest = F.col("parent_budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(all_of)
     weight = F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0)).over(all_of)
-    share = F.floor(rest.cast("double") * F.col("w") / weight).cast("long")
-    return marked.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", share))).drop("cap_before", "w_on", "full", "parent_budget")
+    shared = marked.withColumn("rest", rest).withColumn("weight", weight)
+    share = F.expr("CASE WHEN weight > 0 THEN rest * w div weight END")  # whole numbers: a double is inexact beyond 2^53
+    return shared.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", share))).drop("cap_before", "w_on", "full", "parent_budget", "rest", "weight")
 
 
 def leaf_budgets(leaves: DataFrame, total: Column | int, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
