@@ -219,7 +219,10 @@ def training_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", most: int = MAX_LABELLED) -> Model:
-    """Three quarters of the sample make the class counts, the rest the calibration; all of ``docs`` makes the shared counts."""
+    """Three quarters of the sample make the class counts, the rest the calibration; all of ``docs`` makes the shared counts.
+
+    Where a class has no labelled document with words (empty tables, labels of one class) nothing tells the classes apart: every text
+    gets the score of no evidence, below 0.5. Null ids, texts and labels are passed over."""
     spark = docs.sparkSession
     spool = Spool(spark, "toxicity")
     sample = spool.table(training_sample(labels, label_id, label_col, most))
@@ -228,6 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = backoff_rows(all_grams, seen).toPandas()
     backoff = dict(zip(table["gram"], zip(table["left"].tolist(), table["total"].tolist(), table["types"].tolist(), strict=True), strict=True))
     counts = seen.select("key", "n0", "n1").toPandas()
+    if not (counts["n0"].any() and counts["n1"].any()):
+        return Model({}, {}, (-1.0, 0.0, 0.0, 0.0))
     model = kneser_ney(list(zip(counts["key"], counts["n0"].tolist(), counts["n1"].tolist(), strict=True)), backoff)
     shared = Shared(spark, (model.ratio, model.unseen, model.weights))
     rest = docs.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(sample.where("fold = 0").select("id", "toxic")), F.col("i") == F.col("id")).select("toxic", "text")
