@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -101,3 +103,69 @@ def test_safetensors(tmp_path, spark):
     (shards / "model-00001-of-00002.safetensors").write_bytes(b"")
     with pytest.raises(st.SafetensorsError):
         st.shards(shards)
+
+
+def plain_states(m, ids):
+    """Hidden states of one sequence in double precision, head by head and position by position."""
+    c, w = m.config, lambda name: m.tensors[m.prefix + name].read().astype(np.float64)
+    n, d = len(ids), c.head_dim
+
+    def attend(q, key, value):
+        out = np.zeros_like(q)
+        for i in range(n):
+            for h in range(c.heads):
+                g = h * c.kv_heads // c.heads
+                seen = range(i + 1) if c.causal else range(n)
+                e = np.exp([q[i, h] @ key[j, g] / np.sqrt(d) for j in seen])
+                out[i, h] = sum(a * value[j, g] for a, j in zip(e / e.sum(), seen, strict=True))
+        return out.reshape(n, -1)
+
+    if c.encoder:
+        lin = lambda x, name: x @ w(f"{name}.weight").T + w(f"{name}.bias")
+        ln = lambda x, name: (x - x.mean(1)[:, None]) / np.sqrt(x.var(1)[:, None] + c.ln_eps) * w(f"{name}.weight") + w(f"{name}.bias")
+        x = np.stack([w("embeddings.word_embeddings.weight")[t] + w("embeddings.position_embeddings.weight")[p + c.position_offset] for p, t in enumerate(ids)])
+        x = ln(x + w("embeddings.token_type_embeddings.weight")[0], "embeddings.LayerNorm")
+        for k_ in range(c.layers):
+            p = f"encoder.layer.{k_}."
+            q, key, value = (lin(x, f"{p}attention.self.{s}").reshape(n, c.heads, d) for s in ("query", "key", "value"))
+            x = ln(x + lin(attend(q, key, value), f"{p}attention.output.dense"), f"{p}attention.output.LayerNorm")
+            y = lin(x, f"{p}intermediate.dense")
+            y = y / 2 * (1 + np.vectorize(math.erf)(y / math.sqrt(2)))
+            x = ln(x + lin(y, f"{p}output.dense"), f"{p}output.LayerNorm")
+        return x
+    rms = lambda x, weight: x / np.sqrt((x * x).mean(-1)[..., None] + c.rms_eps) * weight
+
+    def turned(x):
+        """Components k and k + d / 2 of a head as complex numbers, turned by position times theta ** (-2 k / d)."""
+        z = x[..., : d // 2] + 1j * x[..., d // 2 :]
+        z = z * np.exp(1j * np.outer(np.arange(n), c.rope_theta ** (-np.arange(d // 2) * 2 / d)))[:, None]
+        return np.concatenate([z.real, z.imag], -1)
+
+    x = w("embed_tokens.weight")[ids]
+    for k_ in range(c.layers):
+        p, sides = f"layers.{k_}.", []
+        y = rms(x, w(f"{p}input_layernorm.weight"))
+        for s, heads in (("q", c.heads), ("k", c.kv_heads), ("v", c.kv_heads)):
+            z = y @ w(f"{p}self_attn.{s}_proj.weight").T + (w(f"{p}self_attn.{s}_proj.bias") if c.qkv_bias else 0)
+            z = z.reshape(n, heads, d)
+            if s != "v":
+                z = turned(rms(z, w(f"{p}self_attn.{s}_norm.weight")) if c.qk_norm else z)
+            sides.append(z)
+        x = x + attend(*sides) @ w(f"{p}self_attn.o_proj.weight").T
+        y = rms(x, w(f"{p}post_attention_layernorm.weight"))
+        gate = y @ w(f"{p}mlp.gate_proj.weight").T
+        x = x + (gate / (1 + np.exp(-gate)) * (y @ w(f"{p}mlp.up_proj.weight").T)) @ w(f"{p}mlp.down_proj.weight").T
+    return rms(x, w("norm.weight"))
+
+
+@pytest.mark.parametrize("kind", ["base", "qwen3", "qwen2", "bert", "xlm-roberta"])
+def test_states_against_plain_formulas(tmp_path, kind):
+    m = Model(write_model(tmp_path / kind, kind, "none", "F32", hidden=16, heads=4, layers=2, intermediate=24))
+    rows = [[1, 2, 3, 15, 7, 9, 2], [4], [5, 5, 6]]
+    got, start = m.states(rows), 0
+    for ids in rows:
+        want = plain_states(m, ids)
+        assert np.allclose(got[start : start + len(ids)], want, atol=5e-5)
+        pooled = {"last": want[-1], "cls": want[0], "mean": want.mean(0)}[m.config.pooling]
+        assert np.allclose(m.embed([ids])[0], pooled / np.linalg.norm(pooled) if m.config.normalize else pooled, atol=5e-5)
+        start += len(ids)
