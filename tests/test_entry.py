@@ -44,6 +44,25 @@ def test_against_sql(spark, name):
     same_rows(spark, catalog.QUERIES, catalog.ORACLES, name)
 
 
+ODD = [None, [], [None], [0.0] * 64, [3.0, None, 4.0, *[0.0] * 61], [float("nan"), 1.0], [float("-inf"), -1.0, 0.5], [1e30, -1e-20, -1e30], [0.8, -2e-7, 0.6, -0.0], [0.6, -0.8] * 32, [1e-42, -1e-42]]
+
+
+def odd_vectors(at):
+    """Missing, empty, zero and unending vectors, and components that round to zero from below."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(ODD)), pa.int64()), "embedding": pa.array(ODD, pa.list_(pa.float32())), "label": pa.array([0] * len(ODD), pa.int32())}), at / "embeddings.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["l2_normalize"])
+def test_odd_vectors_against_sql(spark, tmp_path, name):
+    from vectorloom.plans import catalog
+
+    same_rows(spark, catalog.QUERIES, catalog.ORACLES, name, odd_vectors(tmp_path))
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
 def test_entry(spark):
     import __spark_entry__ as entry

@@ -38,6 +38,12 @@ def test_vector_functions(spark):
     assert one(spark, [1.0, -1.0], v.gelu_tanh("a")) == pytest.approx([0.841191991, -0.158808009])
 
 
+def test_rounding_keeps_signs_and_goes_by_products(spark):
+    cases = [(-1e-8, "-0.0"), (-0.0, "-0.0"), (5e-7, "1e-06"), (-2.5e-6, "-3e-06"), (1.5e-6, "2e-06"), (4e-7, "0.0"), (1e305, "1e+305"), (float("inf"), "inf"), (float("nan"), "nan"), (0.123456499, "0.123456")]
+    got = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x double").select("i", v.rounded("x", 6).alias("x")).collect()
+    assert [repr(r.x) for r in sorted(got)] == [w for _, w in cases]
+
+
 def test_maxsim_forms_agree(spark):
     rng = np.random.default_rng(3)
     q, d = rng.normal(size=(3, 4)).tolist(), rng.normal(size=(5, 4)).tolist()

@@ -1,4 +1,4 @@
-"""Column functions over vectors (arrays of float): all JVM-side but the two that pack raw bytes.
+"""Column functions over vectors (arrays of float): all JVM-side but those that pack raw bytes or print decimals.
 
 Sums run in double precision. A vector with a null element, or no vector, gives null, unless a function says otherwise.
 """
@@ -44,6 +44,23 @@ def unit(a: ColumnLike) -> Column:
     return F.when(_finite(n) & (n > 0), F.transform(_double(a), lambda x: x / n))
 
 
+def over_norm(a: ColumnLike) -> Column:
+    """Each component by the norm of those that are not null, in double precision, as IEEE and SQL have it: null components stay null, and
+    where the norm is zero or not finite no vector is left out (0 / 0 is NaN). The norm is computed once a vector."""
+    vec = _double(a)
+    n = norm(F.filter(vec, lambda x: x.isNotNull()))
+    return F.get(F.transform(F.array(n), lambda n: F.transform(vec, lambda x: F.when(n == 0, x * float("nan")).otherwise(x / n))), F.lit(0))
+
+
+def rounded(x: ColumnLike, places: int) -> Column:
+    """Half away from zero, of the product with the power of ten, as SQL engines in C round doubles. Small negative numbers give -0.0:
+    ``F.round`` goes by way of decimals, which have no sign at zero and other ties."""
+    y = _c(x) * float(10**places)
+    near = F.rint(y)
+    away = F.when(F.abs(y) - F.abs(near) == 0.5, near + F.signum(y)).otherwise(near) / float(10**places)
+    return F.when(_finite(y), away).otherwise(_c(x))
+
+
 def l2_normalize(a: ColumnLike) -> Column:
     """Unit vector of floats; null where the norm is zero or not finite."""
     return unit(a).cast("array<float>")
