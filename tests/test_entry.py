@@ -56,7 +56,7 @@ def odd_vectors(at):
     return at
 
 
-@pytest.mark.parametrize("name", ["l2_normalize"])
+@pytest.mark.parametrize("name", ["l2_normalize", "matryoshka"])
 def test_odd_vectors_against_sql(spark, tmp_path, name):
     from vectorloom.plans import catalog
 
