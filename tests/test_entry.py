@@ -44,7 +44,7 @@ def test_against_sql(spark, name):
     same_rows(spark, catalog.QUERIES, catalog.ORACLES, name)
 
 
-ODD = [None, [], [None], [0.0] * 64, [3.0, None, 4.0, *[0.0] * 61], [float("nan"), 1.0], [float("-inf"), -1.0, 0.5], [1e30, -1e-20, -1e30], [0.8, -2e-7, 0.6, -0.0], [0.6, -0.8] * 32, [1e-42, -1e-42]]
+ODD = [None, [], [None], [0.0] * 64, [3.0, None, 4.0, *[0.0] * 61], [float("nan"), 1.0], [float("-inf"), -1.0, 0.5], [1e30, -1e-20, -1e30], [0.8, -2e-7, 0.6, -0.0], [0.6, -0.8] * 32, [1e-42, -1e-42], [0.103515625, -0.166015625, 0.005859375, 3.4e38, 16777217.0]]
 
 
 def odd_vectors(at):
@@ -56,7 +56,7 @@ def odd_vectors(at):
     return at
 
 
-@pytest.mark.parametrize("name", ["l2_normalize", "matryoshka"])
+@pytest.mark.parametrize("name", ["l2_normalize", "matryoshka", "plain_text_sink"])
 def test_odd_vectors_against_sql(spark, tmp_path, name):
     from vectorloom.plans import catalog
 

@@ -221,4 +221,13 @@ def layout(ids: ColumnLike, prefix: list[int], suffix: list[int]) -> Column:
 
 
 def format_floats(a: ColumnLike, pattern: str = "%.8f", separator: str = " ") -> Column:
-    return F.array_join(F.transform(_double(a), lambda x: F.format_string(pattern, x)), separator)
+    """Components in C's notation: rounded from their exact values, ties to even, nan and inf; null ones are the word null. (The JVM's
+    formatter rounds the shortest decimal that names a number, half up: 0.103515625 and large numbers print otherwise.)"""
+
+    def printed(a: pa.Array) -> pa.Array:
+        def line(v: list) -> str:
+            return separator.join("null" if x is None else pattern % x for x in v) if None in v else separator.join([pattern] * len(v)) % tuple(v)
+
+        return pa.array([None if v is None else line(v) for v in a.to_pylist()], pa.string())
+
+    return F.arrow_udf(printed, "string")(_double(a))
