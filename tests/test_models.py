@@ -169,3 +169,35 @@ def test_states_against_plain_formulas(tmp_path, kind):
         pooled = {"last": want[-1], "cls": want[0], "mean": want.mean(0)}[m.config.pooling]
         assert np.allclose(m.embed([ids])[0], pooled / np.linalg.norm(pooled) if m.config.normalize else pooled, atol=5e-5)
         start += len(ids)
+
+
+@pytest.mark.parametrize("causal", [True, False])
+@pytest.mark.parametrize("size", [1.0, 40.0])
+def test_attention_in_tiles(causal, size):
+    """Tiles of queries and keys, with and without a shift of the scores, against the plain formula; one query a sequence alike."""
+    rng = np.random.default_rng(9)
+    lengths = [1, 700, 127, 2, 1100]
+    q, key, val = (rng.normal(size=(sum(lengths), h, 16)).astype(np.float32) for h in (4, 2, 2))
+    q = q * np.float32(size)
+    got, start = k.attention(q, key, val, lengths, causal), 0
+    ends = np.cumsum(lengths) - 1
+    for n in lengths:
+        for h in range(4):
+            s = slice(start, start + n)
+            w = q[s, h].astype(np.float64) @ key[s, h // 2].T.astype(np.float64) / 4
+            w = np.where(np.tri(n, dtype=bool), w, -np.inf) if causal else w
+            w = np.exp(w - w.max(1, keepdims=True))
+            assert np.abs(got[s, h] - w / w.sum(1, keepdims=True) @ val[s, h // 2]).max() < 5e-5
+        start += n
+    assert np.abs(k.attention_of(q[ends], key, val, lengths, lengths) - got[ends]).max() < 5e-5
+
+
+def test_attention_needs_a_tile_of_memory():
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(8192, 2, 16)).astype(np.float32)
+    tracemalloc.start()
+    k.attention(x, x[:, :1], x[:, :1], [len(x)], True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
