@@ -201,3 +201,13 @@ def test_attention_needs_a_tile_of_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 << 20
+
+
+@pytest.mark.parametrize("kind", ["qwen3", "base", "bert"])
+def test_states_of_one_position(tmp_path, kind):
+    """A pooled position's state alone, where the last block skips the others, is the one among all."""
+    m = Model(write_model(tmp_path / kind, kind, hidden=16, heads=4, layers=3, intermediate=24))
+    rows = [[1, 2, 3, 4, 5], [6], [7, 8]]
+    every, ends = m.states(rows), np.cumsum([len(r) for r in rows])
+    assert np.abs(m.states(rows, "last") - every[ends - 1]).max() < 1e-5
+    assert np.abs(m.states(rows, "cls") - every[ends - [len(r) for r in rows]]).max() < 1e-5
