@@ -221,3 +221,12 @@ def test_text_sinks_and_stream(spark, tmp_path):
     assert len(rows) == 2 and all(len(r["embedding"]) == r["dim"] == 64 for r in rows)
     line = spark.createDataFrame([([0.5, 1.0],)], "v array<float>").select(T.plain("v")).first()[0]
     assert line == "0.50000000 1.00000000"
+
+
+@pytest.mark.parametrize("route, body", [(serve.embeddings, '{"model": "native", "input": ["hello", "held"]}'), (serve.contextual, '{"model": "context", "input": [["hello", "world"], ["held"]]}')])
+def test_served_rows_meet_the_models_once(spark, route, body):
+    """However many models there are, and for usage and errors as for answers, one stage runs them."""
+    answers = route(spark.createDataFrame([(1, body)], "request_id int, body string"), catalog.models(spark))
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("embedding#") and sum("MapInArrow run" in line and "error" in line and "embedding" in line for line in plan.splitlines()) == 1
+    assert answers.first().status == 200
