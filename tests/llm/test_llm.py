@@ -467,6 +467,13 @@ def test_toxicity(spark):
     assert 0 <= nothing.score(b"any text") <= 1
 
 
+def test_backoff_counts_are_one_small_plan(spark):
+    """All lengths in one plan: a plan a length, each made of the one before, took the driver more memory than its limit."""
+    rows = spark.createDataFrame([("\x02on", 2, 1, 1), ("\x02one", 1, 0, 1)], "key string, n long, n0 long, n1 long")
+    found = toxicity.backoff_rows(rows, rows.where("n1 > 0"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 12
+
+
 def test_kneser_ney_against_brute_force(spark):
     """The log-ratios against the formulas over all substrings of all words."""
     rng = np.random.default_rng(12)

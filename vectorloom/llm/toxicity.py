@@ -102,24 +102,20 @@ def corpus_grams(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", tex
     return map_arrow(words, _count_grams, "key string, n long, n0 long, n1 long").groupBy("key").agg(*sums)
 
 
+def _suffixes(rows: DataFrame, first: int) -> DataFrame:
+    """Distinct suffixes (column gram) of the n-grams in ``rows`` (column key) that begin at their ``first`` character or a later one."""
+    return rows.where(F.length("key") >= first).select(F.explode(F.expr(f"transform(sequence({first}, length(key)), i -> substring(key, i))")).alias("gram")).distinct()
+
+
 def backoff_rows(all_grams: DataFrame, seen: DataFrame) -> DataFrame:
     """Continuation counts that the n-grams in ``seen`` (column key) need: gram, left (distinct characters before it),
-    for every proper suffix of them, and the same sums for their contexts: total, types. One row an n-gram: n-grams of a length are
-    counted together, whether they are suffixes of longer ones or stand at a word's start and have no longer one."""
-
-    def of_length(rows: DataFrame, n: int) -> DataFrame:
-        return rows.select(F.col("key").alias("gram")).where(F.length("gram") == n)
-
-    level, wanted = of_length(all_grams, ORDER), of_length(seen, ORDER)
-    out = None
-    for n in range(ORDER - 1, 0, -1):
-        level = level.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("left"))
-        wanted = wanted.select(F.expr("substring(gram, 2)").alias("gram")).distinct()
-        context = level.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).agg(F.sum("left").alias("total"), F.count("*").alias("types"))
-        rows = wanted.join(level, "gram").withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")).join(context, "context").select("gram", "left", "total", "types")
-        out = rows if out is None else out.union(rows)
-        level, wanted = level.select("gram").union(of_length(all_grams, n)), wanted.union(of_length(seen, n))
-    return out
+    for every proper suffix of them, and the same sums for their contexts: total, types. One row an n-gram: n-grams of all lengths are
+    counted together, whether they are suffixes of longer ones or stand at a word's start and have no longer one. One plan for all lengths,
+    as the driver holds and compiles it."""
+    level = _suffixes(all_grams, 1).where(F.length("gram") > 1).groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("left"))
+    before = F.expr("substring(gram, 1, length(gram) - 1)").alias("context")
+    context = level.groupBy(before).agg(F.sum("left").alias("total"), F.count("*").alias("types"))
+    return _suffixes(seen, 2).join(level, "gram").withColumn("context", before).join(context, "context").select("gram", "left", "total", "types")
 
 
 @dataclass
