@@ -232,3 +232,14 @@ def test_attention_of_large_scores_is_not_slow():
     weights = np.exp(scores - scores.max(axis=2, keepdims=True))
     right = np.einsum("hij,jhd->ihd", weights / weights.sum(axis=2, keepdims=True), val.repeat(2, axis=1))
     assert np.abs(k.attention(q * 30, key, val, [len(q)], False) - right).max() < 2e-4
+
+
+def test_first_block_projects_distinct_tokens(tmp_path, monkeypatch):
+    """The first block's queries, keys and values are made once for each token of the vocabulary, not for each position."""
+    m = Model(write_model(tmp_path / "m", "qwen3", "none", layers=2))
+    seen, linear = [], k.linear
+    monkeypatch.setattr(k, "linear", lambda x, weight, bias=None: seen.append((id(weight), len(x))) or linear(x, weight, bias))
+    rows = [[1, 2, 3, 2, 1, 3] * 20, [3, 1, 1]]
+    both = m.embed(rows)
+    assert {n for w, n in seen for s in "qkv" if w == id(m.w(f"layers.0.self_attn.{s}_proj.weight"))} == {3}
+    assert np.allclose(both, np.concatenate([m.embed([r]) for r in rows]), atol=1e-5)

@@ -131,6 +131,24 @@ def test_embedding_isolates_bad_rows(spark):
     assert np.allclose(again[1], rows[1].embedding, atol=5e-5)
 
 
+def test_copies_are_run_once(tmp_path, monkeypatch):
+    """Of equal texts, in a batch or in later ones of the worker, the model sees one; each row has its answer."""
+    r = ModelRegistry()
+    r.register("a", write_model(tmp_path / "m"))
+    work, ran, embed = E._pooled(r.models["a"], None, True), [], E.nn.Model.embed
+    monkeypatch.setattr(E.nn.Model, "embed", lambda m, rows: ran.extend(rows) or embed(m, rows))
+    texts = ["hello", "world", "hello", "", None, "hello"]
+    first = work(texts)
+    assert len(ran) == 2 and first["n_tokens"] == [len(r.models["a"].tokenizer().encode(t)) if t else None for t in texts]
+    assert np.array_equal(first["embedding"][0], first["embedding"][5]) and not np.array_equal(first["embedding"][0], first["embedding"][1])
+    assert [e is not None for e in first["error"]] == [not t for t in texts]
+    again = work(["world", "held", "hello"])
+    assert len(ran) == 3 and np.array_equal(again["embedding"][0], first["embedding"][1]) and np.array_equal(again["embedding"][2], first["embedding"][0])
+    monkeypatch.setattr(E, "KEPT", 1)
+    little = E._pooled(r.models["a"], None, True)
+    assert [np.array_equal(a, b) for a, b in zip(little(texts)["embedding"][:2], first["embedding"])] == [True, True] and len(E._answered(r.models["a"].directory, True, r.models["a"].token_cap, r.models["a"].keep_tail, None, True)) == 1
+
+
 def test_contextual(spark):
     m = catalog.models(spark).models["context"]
     df = spark.createDataFrame([(1, 0, "hello"), (1, 1, "world"), (2, 0, "held"), (3, 0, "x"), (3, 1, "")], "doc int, i int, text string")
