@@ -248,3 +248,14 @@ def test_served_rows_meet_the_models_once(spark, route, body):
     plan = answers._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("embedding#") and sum("MapInArrow run" in line and "error" in line and "embedding" in line for line in plan.splitlines()) == 1
     assert answers.first().status == 200
+
+
+def test_served_bodies_are_checked_once(spark):
+    """Refused requests go along with the others: nothing is parsed again for them, and each keeps its own answer, even beside others of its id."""
+    good, none, empty = '{"model": "native", "input": ["hello", "held"]}', '{"model": "nobody", "input": "x"}', '{"model": "embed", "input": ""}'
+    answers = serve.embeddings(spark.createDataFrame([(1, good), (1, none), (1, empty), (2, "x"), (None, none)], "request_id int, body string"), catalog.models(spark))
+    assert answers._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    wrong = sorted((r.request_id or 0, json.loads(r.response)["detail"][0]["type"]) for r in answers.where("status = 422").collect())
+    assert wrong == [(0, "enum"), (1, "enum"), (1, "value_error.empty"), (2, "value_error.json")]
+    right = answers.where("status = 200").collect()
+    assert [r.request_id for r in right] == [1] and len(json.loads(right[0].response)["data"]) == 2
