@@ -243,3 +243,15 @@ def test_first_block_projects_distinct_tokens(tmp_path, monkeypatch):
     both = m.embed(rows)
     assert {n for w, n in seen for s in "qkv" if w == id(m.w(f"layers.0.self_attn.{s}_proj.weight"))} == {3}
     assert np.allclose(both, np.concatenate([m.embed([r]) for r in rows]), atol=1e-5)
+
+
+@pytest.mark.parametrize(("heads", "d"), [(2, 8), (40, 64)])
+def test_turns_start_anew_with_each_sequence(heads, d):
+    """In slices, with a table as wide as the heads or one head's where that would be large, the same floats as one position at a time."""
+    lengths = [1, 5, k.SLICE + 3, 2]
+    x = np.random.default_rng(0).normal(size=(sum(lengths), heads, d)).astype(np.float32)
+    at = np.concatenate([np.arange(n) for n in lengths])
+    angle = at[:, None, None] * 10000.0 ** (-2 * np.arange(d // 2) / d)
+    c, s, a, b = np.cos(angle).astype(np.float32), np.sin(angle).astype(np.float32), x[..., : d // 2], x[..., d // 2 :]
+    plain = np.concatenate([a * c - b * s, b * c + a * s], axis=-1)
+    assert np.array_equal(k.rope(x, lengths, 10000.0), plain) and np.array_equal(k.rope(x, lengths, 10000.0, at), plain)

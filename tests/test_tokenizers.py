@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from vectorloom.nn.fixtures import WORDPIECE, write_bpe, write_unigram
+from vectorloom.nn.fixtures import WORDPIECE, write_bpe, write_model, write_unigram
+from vectorloom.nn.model import Model
 from vectorloom.tokenizers import ByteBPE, TokenizerError, Unigram, WordPiece, item_token_cap, open_tokenizer, truncate
 from vectorloom.tokenizers.bpe import compose, split
 
@@ -104,3 +106,16 @@ def test_caps():
     assert item_token_cap(512, 0, 16384) == 512 and item_token_cap(32768, 0, 16384) == 16384
     assert truncate([101, 7, 8, 9, 10, 102], 4, True) == [101, 7, 8, 102]
     assert truncate([101, 7, 8, 102], 2, False) == [101, 7]
+
+
+def test_ids_as_arrays_are_those_of_the_core(bpe, tmp_path):
+    """Pieces come from a cache as bytes, with no object for each token; the model takes arrays as it takes lists."""
+    write_model(tmp_path, vocab=268)
+    ended = open_tokenizer(tmp_path, append_terminal=True)
+    for text in ("hello world", "héllo  wórld 12", "\0x", "x\0y", "𝒳 中 \x85" * 50):
+        for t in (bpe, ended):
+            plain = [*t.prefix, *t.core("held " + text.split("\0")[0]), *t.suffix]
+            got = t.encode_array(text, instruct="held ")
+            assert got.dtype == np.int32 and got.tolist() == plain == t.encode(text, instruct="held ")
+    assert truncate(got, 4, True).tolist() == truncate(plain, 4, True) and truncate(got, 4, False).tolist() == plain[:4]
+    assert np.array_equal(Model(tmp_path).embed([got, got[:3]]), Model(tmp_path).embed([plain, plain[:3]]))
